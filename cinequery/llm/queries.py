@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinequery.llm import encode, leaks, lookalike, nearest, runs, topn
+from cinequery.llm import encode, leaks, lookalike, nearest, runs, topn, vectors
 from cinequery.sources.tables import table
 
 #: Rank file and word pattern of the tokenizer byte_bpe_50k, if the package with public vocabularies is there.
@@ -28,6 +28,19 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(key[0].cast("long").alias("segment_id"), key[1].alias("edge"), F.col("right_id").alias("keyframe_id"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = vectors.similar_vectors(table(spark, folder, "milvus_index"), "keyframe_id", "vector", 5, least=0.9)
+    a, b = F.col("key_a"), F.col("key_b")
+    return found.select(F.least(a, b).alias("keyframe_id_a"), F.greatest(a, b).alias("keyframe_id_b")).distinct()
+
+
+def p3_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten keyframes most similar to each row whose id is divisible by 100, however similar, out of all."""
+    index = table(spark, folder, "milvus_index")
+    found = vectors.similar_vectors(index, "keyframe_id", "vector", 10, asks=F.col("id") % 100 == 0, probes=12, margin=1.0, degree=16, build_beam=16, beam=64)
+    return found.select(F.col("key_a").alias("keyframe_id"), F.col("key_b").alias("neighbour_id"), F.round("similarity", 6).alias("similarity"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return _runs(spark, folder, 2).select("video_id", F.col("first_key").alias("first_keyframe_id"), F.col("last_key").alias("last_keyframe_id"))
 

@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Rows of a group from which on it counts as heavy: about what one task sorts in memory with ease.
-HEAVY_ROWS = 200_000
+HEAVY_ROWS = 100_000
 #: Rows that one salt of a heavy group gets at most, on average.
-SALT_ROWS = 100_000
+SALT_ROWS = 50_000
 #: Heavy groups up to which their list is broadcast (a row is two keys and a count, some 100 bytes).
 BROADCAST_GROUPS = 50_000
 
