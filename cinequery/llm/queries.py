@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinequery.llm import encode, leaks, lookalike, nearest, runs, topn, vectors
+from cinequery.llm import encode, leaks, lookalike, nearest, runs, sentences, topn, vectors
 from cinequery.sources.tables import table
 
 #: Rank file and word pattern of the tokenizer byte_bpe_50k, if the package with public vocabularies is there.
@@ -75,5 +75,9 @@ def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "text", 12)
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
