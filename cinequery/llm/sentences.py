@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -40,7 +41,7 @@ EPOCHS = 5
 _UNDRAWN, _MN = re.compile(f"[{UNDRAWN}]"), re.compile(f"[{MARKS}]+")
 #: Scripts that separate sentences by a space and set no end marks: Thai, Lao.
 _SPACED = "฀-໿"
-_CLOSERS = "\"'”“»«’)\\]}」』）】〉》"
+_CLOSERS = "\"'”“»’)\\]}」』）】〉》"
 _WIDE = "。！？｡！？︒"
 _CANDIDATE = re.compile(rf"(?:[.!?…؟۔।॥]|[{_WIDE}])+(?:[   ]?[{_CLOSERS}](?![^\W_]))*|(?<=[{_SPACED}\d])[^\S\n]*\n?[^\S\n]*(?<=\s)(?=\S)")
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
@@ -60,7 +61,7 @@ ABBREVIATIONS = frozenset(
     """.split()
 )
 MAY_END = frozenset("etc inc ltd co corp pcs jr sr a.m p.m v.v usw т.д т.п и.д и.п д".split())
-GOES_ON = frozenset("and or but va und et ou и y with for at in by per".split())
+GOES_ON = frozenset("and or but va und et ou и y".split())
 MONTHS = frozenset("januar februar marz april mai juni juli august september oktober november dezember".split())
 
 
@@ -84,7 +85,7 @@ class Place:
 
 def places(text: str) -> list[Place]:
     """Candidates of one paragraph, in order."""
-    lower = not any(c.isupper() for c in text)
+    capitals = [i for i, c in enumerate(text) if c.isupper()]
     spans, opened = [], []
     # Quotations: (start, end) of those that are closed in this paragraph.
     for i, c in enumerate(text):
@@ -104,6 +105,10 @@ def places(text: str) -> list[Place]:
     for m in _CANDIDATE.finditer(text):
         start, end = m.span()
         p = Place()
+        # No capital around, or none in a long stretch ahead: written without capitals.
+        near, ahead = bisect_left(capitals, start - 100), bisect_left(capitals, end)
+        lower = near == len(capitals) or capitals[near] > end + 60
+        lower |= len(text) > end + 40 and (ahead == len(capitals) or capitals[ahead] > end + 90)
         group = m.group()
         mark = next((c for c in reversed(group) if c in ".!?…؟۔।॥" or c in _WIDE), " ")
         if mark == "." and ".." in group:
@@ -123,8 +128,6 @@ def places(text: str) -> list[Place]:
         p.kind = (
             "q" if nxt in _OPEN or nxt in "\"'" else "-" if nxt in "-–—" else "d" if nxt.isdigit() else "U" if nxt.isupper() else "l" if nxt.islower() else "o" if nxt.isalpha() else "p"
         )
-        if lower and p.kind == "U":
-            p.kind = "l"
         while at_quote < len(quotes) and quotes[at_quote][1] < end:
             at_quote += 1
         p.inside = at_quote < len(quotes) and quotes[at_quote][0] < start and quotes[at_quote][1] >= end
@@ -178,7 +181,7 @@ def _rule(text: str, p: Place, so_far: str) -> int:
     if p.closer == "q":
         if p.lead in (":", ","):
             return int(not goes_on)
-        return int(p.kind in "Uqd" and p.lead == "x")if p.kind != "U" else 1
+        return int(p.kind == "U" or p.kind in "qd" and p.lead == "x")
     if goes_on and p.mark != "W":
         return 0
     if p.mark == "…":
@@ -192,7 +195,7 @@ def _rule(text: str, p: Place, so_far: str) -> int:
     token = p.token.strip(".-")
     pair = "".join(_fold(so_far).split())[-3:]
     if token in MAY_END or token.rpartition(".")[2] in MAY_END or pair in ("т.д", "т.п"):
-        if p.after in GOES_ON or p.closer == "b":
+        if p.kind != "U" and p.after in GOES_ON or p.closer == "b":
             return 0
         if token != "д" or pair in ("т.д", "т.п"):
             return 1
