@@ -17,8 +17,10 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """At unit length; a zero vector stays as it is."""
-    length = norm(a)
-    return F.transform(a.cast("array<double>"), lambda x: F.when(length > 0, x / length).otherwise(x))
+    values = a.cast("array<double>")
+    # The length is bound by a one-element array: inside the inner lambda it would be worked out for every element.
+    scaled = F.transform(F.array(norm(a)), lambda n: F.transform(values, lambda x: F.when(n > 0, x / n).otherwise(x)))
+    return scaled[0]
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -65,7 +65,8 @@ def sql_view(name: str) -> str:
 
 
 def sql_words(text: str) -> str:
-    return f"regexp_extract_all(strip_accents(replace(replace(lower({text}), 'ß', 'ss'), 'đ', 'd')), '[\\p{{L}}\\p{{N}}_]+')"
+    # strip_accents would drop spacing marks too, which stand between words here.
+    return f"regexp_extract_all(strip_accents(replace(replace(regexp_replace(lower({text}), '\\p{{Mc}}', ' ', 'g'), 'ß', 'ss'), 'đ', 'd')), '[\\p{{L}}\\p{{N}}_]+')"
 
 
 def sql_tidy(text: str) -> str:
