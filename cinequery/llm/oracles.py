@@ -46,7 +46,7 @@ from numbered group by video_id, shot_id, run
 
 
 def oracle_sql() -> dict[str, str]:
-    words = f"regexp_extract_all(strip_accents(replace(replace(lower(regexp_replace(text, '[{_class()}]', '', 'g')), 'ß', 'ss'), 'đ', 'd')), '[\\p{{L}}\\p{{N}}_]+')"
+    words = f"regexp_extract_all(strip_accents(replace(replace(regexp_replace(lower(regexp_replace(text, '[{_class()}]', '', 'g')), '\\p{{Mc}}', ' ', 'g'), 'ß', 'ss'), 'đ', 'd')), '[\\p{{L}}\\p{{N}}_]+')"
     return {
         "p1_found": f"""
             with lines as (
