@@ -144,8 +144,8 @@ def canonical_form(rows: DataFrame, text: str, into: str = "canonical") -> DataF
     """``rows`` with the column ``into``: the canonical member of the class of ``text``."""
     if into in rows.columns:
         raise ValueError(f"column {into} exists")
-    found = classes(rows.select(text)).select(F.col("text").alias("_value"), F.col("canonical").alias(into))
-    return rows.join(found, F.col(text) == F.col("_value"), "left").drop("_value")
+    found = classes(rows.select(text)).select(F.col("text").alias("__value"), F.col("canonical").alias(into))
+    return rows.join(found, F.col(text) == F.col("__value"), "left").drop("__value")
 
 
 def same_looking_pairs(rows: DataFrame, key: str, group: Sequence[str], text: str) -> DataFrame:

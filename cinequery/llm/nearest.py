@@ -112,8 +112,8 @@ def nearest_in_time(
         raise ValueError("tolerance must not be negative")
     key = F.to_json(F.array(*(F.col(c).cast("string") for c in left_key)))
     sides = [
-        left.select(F.col(entity).alias("entity"), F.col(left_at).cast("long").alias("at"), F.lit(True).alias("is_left"), key.alias("id")),
-        right.select(F.col(entity).alias("entity"), F.col(right_at).cast("long").alias("at"), F.lit(False).alias("is_left"), F.col(right_id).cast("string").alias("id")),
+        left.select(F.col(entity).cast("string").alias("entity"), F.col(left_at).cast("long").alias("at"), F.lit(True).alias("is_left"), key.alias("id")),
+        right.select(F.col(entity).cast("string").alias("entity"), F.col(right_at).cast("long").alias("at"), F.lit(False).alias("is_left"), F.col(right_id).cast("string").alias("id")),
     ]
     both = sides[0].unionByName(sides[1]).where("entity is not null and at is not null and id is not null")
     scanned = materialize(ordered_scan(both, ["entity", "at"], ["entity", "at", "is_left", "id"], _scanner(tolerance), _SCANNED, partitions), "nearest")

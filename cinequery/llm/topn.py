@@ -31,7 +31,7 @@ def _best(rows: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, k
     # Copies of a record tie in all order columns, so dense_rank counts them once. The clustering of
     # the window also serves dropDuplicates: no further exchange.
     window = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("_rank", F.dense_rank().over(window)).where(F.col("_rank") <= n).drop("_rank").dropDuplicates([*by, *key])
+    return rows.withColumn("__rank", F.dense_rank().over(window)).where(F.col("__rank") <= n).drop("__rank").dropDuplicates([*by, *key])
 
 
 def top_n(
@@ -59,23 +59,23 @@ def top_n(
 
     heavy = (
         rows.groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > heavy_rows)
-        .withColumn("_salts", F.ceil(F.col("_rows") / salt_rows).cast("int"))
-        .drop("_rows")
+        .agg(F.count(F.lit(1)).alias("__rows"))
+        .where(F.col("__rows") > heavy_rows)
+        .withColumn("__salts", F.ceil(F.col("__rows") / salt_rows).cast("int"))
+        .drop("__rows")
     )
     found = heavy.limit(BROADCAST_GROUPS + 1).collect()
     if not found:
-        return _best(rows, group, order, n, ties)
+        return _best(rows, group, order, n, [*ties, score])
     spark = rows.sparkSession
     if len(found) <= BROADCAST_GROUPS:
         heavy = F.broadcast(spark.createDataFrame(found, heavy.schema))
     # Past the bound the list stays distributed and Spark picks the join.
     light = rows.join(heavy, list(group), "left_anti")
     hot = rows.join(heavy, list(group), "inner")
-    salted = hot.withColumn("_salt", F.pmod(F.xxhash64(*(F.col(c).cast("string") for c in ties)), F.col("_salts"))).drop("_salts")
-    by = [*group, "_salt"]
+    salted = hot.withColumn("__salt", F.pmod(F.xxhash64(*(F.col(c).cast("string") for c in ties)), F.col("__salts"))).drop("__salts")
+    by = [*group, "__salt"]
     # Range partitioning by the salted key clusters it, so the window below needs no exchange.
     ranged = salted.repartitionByRange(*by)
-    candidates = _best(ranged, by, order, n, ties).drop("_salt")
-    return _best(light, group, order, n, ties).unionByName(_best(candidates, group, order, n, ties)).select(*wanted)
+    candidates = _best(ranged, by, order, n, [*ties, score]).drop("__salt")
+    return _best(light, group, order, n, [*ties, score]).unionByName(_best(candidates, group, order, n, [*ties, score])).select(*wanted)
