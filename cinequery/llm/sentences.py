@@ -26,26 +26,34 @@ import unicodedata
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinequery.functions.characters import MARKS, UNDRAWN
+from cinequery.functions.characters import MARKS, UNDRAWN, ranges
 
 #: Documents, at most, on which the model is trained, and the largest share of a text used there.
 TRAINING_DOCUMENTS = 2_500
 TRAINING_CHARACTERS = 20_000
 EPOCHS = 5
 
+_CAPITAL = re.compile(f"[{ranges(str.isupper)}]")
 _UNDRAWN, _MN = re.compile(f"[{UNDRAWN}]"), re.compile(f"[{MARKS}]+")
 #: Scripts that separate sentences by a space and set no end marks: Thai, Lao.
 _SPACED = "฀-໿"
 _CLOSERS = "\"'”“»’)\\]}」』）】〉》"
 _WIDE = "。！？｡！？︒"
-_CANDIDATE = re.compile(rf"(?:[.!?…؟۔।॥]|[{_WIDE}])+(?:[   ]?[{_CLOSERS}](?![^\W_]))*|(?<=[{_SPACED}\d])[^\S\n]*\n?[^\S\n]*(?<=\s)(?=\S)")
+_MARKED = rf"(?:[.!?…؟۔।॥]|[{_WIDE}])+(?:[   ]?[{_CLOSERS}](?![^\W_]))*"
+_SPACE = rf"(?<=[{_SPACED}\d])[^\S\n]*\n?[^\S\n]*(?<=\s)(?=\S)"
+_CANDIDATE, _CANDIDATE_SPACED = re.compile(_MARKED), re.compile(f"{_MARKED}|{_SPACE}")
+_HAS_SPACED = re.compile(f"[{_SPACED}]")
+_WORDS, _FIRST = re.compile(r"\w+"), re.compile(r"\W*(\w*)")
+_BREAK = re.compile(r"[\s“”„«»\"'()\[\]「」『』,;:!?…。！？]")
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 _OPEN, _CLOSE = "“„«「『‘‚‹《〈", "”“»」』’›》〉"
+_QUOTE = re.compile("[\"“”„«»「」『』《》]")
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "《": "》", "»": "«"}
 
 # Abbreviations, folded, that do not end a sentence by themselves, and those that may.
@@ -65,6 +73,7 @@ GOES_ON = frozenset("and or but va und et ou и y".split())
 MONTHS = frozenset("januar februar marz april mai juni juli august september oktober november dezember".split())
 
 
+@lru_cache(maxsize=200_000)
 def _fold(text: str) -> str:
     return _MN.sub("", unicodedata.normalize("NFD", text.casefold().replace("đ", "d")))
 
@@ -85,24 +94,29 @@ class Place:
 
 def places(text: str) -> list[Place]:
     """Candidates of one paragraph, in order."""
-    capitals = [i for i, c in enumerate(text) if c.isupper()]
+    capitals = [m.start() for m in _CAPITAL.finditer(text)]
     spans, opened = [], []
     # Quotations: (start, end) of those that are closed in this paragraph.
-    for i, c in enumerate(text):
+    last_straight = text.rfind('"')
+    for m in _QUOTE.finditer(text):
+        i, c = m.start(), m.group()
         if c == '"':
             if opened and text[opened[-1]] == '"':
                 spans.append((opened.pop(), i))
-            elif '"' in text[i + 1 :]:
+            elif i < last_straight:
                 opened.append(i)
         elif opened and text[opened[-1]] in _PAIRS and c in _PAIRS[text[opened[-1]]]:
             spans.append((opened.pop(), i))
         elif c in _PAIRS and (c != "»" or not opened):
             opened.append(i)
     spans.sort()
-    quotes = [s for s in spans if not any(a < s[0] and s[1] < b for a, b in spans)] if len(spans) > 1 else spans
+    quotes = []  # outermost ones
+    for s in spans:
+        if not quotes or s[0] > quotes[-1][1]:
+            quotes.append(s)
     closing = {b: a for a, b in quotes}
-    out, last, at_quote = [], 0, 0
-    for m in _CANDIDATE.finditer(text):
+    out, last, at_quote, words, counted = [], 0, 0, 0, 0
+    for m in (_CANDIDATE_SPACED if _HAS_SPACED.search(text) else _CANDIDATE).finditer(text):
         start, end = m.span()
         p = Place()
         # No capital around, or none in a long stretch ahead: written without capitals.
@@ -114,17 +128,17 @@ def places(text: str) -> list[Place]:
         if mark == "." and ".." in group:
             mark = "…"
         p.space = end < len(text) and (text[end].isspace() or mark == " ")
-        rest = text[end:].lstrip() if mark != " " else text[end:]
+        rest = text[end : end + 80] if mark == " " else text[end : end + 80].lstrip() or text[end:].lstrip()
         if mark != " " and not rest:
             break  # the end of the paragraph needs no decision
         nxt = rest[0]
         if not p.space and mark in ".…" and (nxt.isdigit() or nxt in ",;:)-/_" or nxt.islower() and not lower):
             continue
         head = text[max(0, start - 24) : start].rstrip() if mark != " " else text[max(0, start - 24) : start]
-        word = re.search(r"[^\s“”„«»\"'()\[\]「」『』,;:!?…。！？]*$", head).group()
+        word = _BREAK.split(head)[-1]
         p.before = head
         p.token = _fold(word)[-14:]
-        p.after = _fold(re.match(r"\W*(\w*)", rest[:20]).group(1))[:14]
+        p.after = _fold(_FIRST.match(rest[:20]).group(1))[:14]
         p.kind = (
             "q" if nxt in _OPEN or nxt in "\"'" else "-" if nxt in "-–—" else "d" if nxt.isdigit() else "U" if nxt.isupper() else "l" if nxt.islower() else "o" if nxt.isalpha() else "p"
         )
@@ -139,12 +153,13 @@ def places(text: str) -> list[Place]:
         p.closer = "q" if close is not None else "b" if group[-1:] in ")]}）】" else ""
         p.mark = "W" if mark in _WIDE else mark
         p.start, p.end, p.lower = start, end, lower
-        p.words = len(re.findall(r"\w+", text[last:start]))
+        words += len(_WORDS.findall(text, counted, start))
+        counted, p.words = end, words
         p.left, p.right = text[start - 1 : start], nxt
         p.features = ()
         out.append(p)
         if not p.inside:
-            last = end
+            last, words = end, 0
     return out
 
 
@@ -193,7 +208,7 @@ def _rule(text: str, p: Place, so_far: str) -> int:
     if not p.space and (_url(text, p.start) or not p.left.islower() and not p.left.isdigit() or p.token in ABBREVIATIONS):
         return 0
     token = p.token.strip(".-")
-    pair = "".join(_fold(so_far).split())[-3:]
+    pair = "".join(_fold(so_far[-12:]).split())[-3:]
     if token in MAY_END or token.rpartition(".")[2] in MAY_END or pair in ("т.д", "т.п"):
         if p.kind != "U" and p.after in GOES_ON or p.closer == "b":
             return 0
