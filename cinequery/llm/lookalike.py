@@ -120,7 +120,10 @@ def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def classes(texts: DataFrame) -> DataFrame:
-    """(text, canonical) for each distinct non-null value of the one column of ``texts``."""
+    """(text, canonical, written) for each distinct non-null value of the one column of ``texts``.
+
+    ``written``: whether a letter or digit is to be seen (some radicals and numerals are no letters, but look like ones).
+    """
     column = texts.columns[0]
     values = texts.select(F.col(column).alias("text")).where("text is not null").distinct()
     drawn = values.mapInArrow(_skeletons, "text string, skeleton string")
@@ -128,13 +131,13 @@ def classes(texts: DataFrame) -> DataFrame:
     return spark.sql(
         f"""
         with mapped as (
-            select text, collate(skeleton, 'UNICODE') as look, array_join(regexp_extract_all(skeleton, r'{apart}', 0), '') as apart
+            select text, skeleton rlike r'[\\p{{{{L}}}}\\p{{{{N}}}}]' as written, collate(skeleton, 'UNICODE') as look, array_join(regexp_extract_all(skeleton, r'{apart}', 0), '') as apart
             from {{drawn}}
         ),
         classes as (
             select look, apart, min(struct(char_length(text) as length, text)).text as canonical from mapped group by look, apart
         )
-        select m.text, c.canonical from mapped m join classes c on m.look = c.look and m.apart = c.apart
+        select m.text, c.canonical, m.written from mapped m join classes c on m.look = c.look and m.apart = c.apart
         """,
         drawn=drawn,
     )
@@ -155,10 +158,12 @@ def same_looking_pairs(rows: DataFrame, key: str, group: Sequence[str], text: st
     Copies of a row count once. Only classes with two or more different texts in a group are paired.
     """
     wanted = [key, *group, text]
-    told = F.col(text).rlike(r"[\p{L}\p{N}]")
+    whole = F.lit(True)
     for c in wanted:
-        told &= F.col(c).isNotNull()
-    lines = canonical_form(rows.select(*wanted).where(told).dropDuplicates([*group, key, text]), text)
+        whole &= F.col(c).isNotNull()
+    kept = rows.select(*wanted).where(whole).dropDuplicates([*group, key, text])
+    found = classes(kept.select(text)).where("written").select(F.col("text").alias("__value"), "canonical")
+    lines = kept.join(found, F.col(text) == F.col("__value")).drop("__value")
     by = [*group, "canonical"]
     mixed = lines.groupBy(*by).agg(F.min(text).alias("_lo"), F.max(text).alias("_hi")).where("_lo <> _hi").select(*by)
     several = lines.join(mixed, by, "left_semi")

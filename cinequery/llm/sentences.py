@@ -89,7 +89,7 @@ def drawn(text: str) -> tuple[str, list[int] | None]:
 class Place:
     """A place where a sentence may end, with what is known around it."""
 
-    __slots__ = ("start", "end", "mark", "closer", "before", "token", "after", "kind", "space", "inside", "lead", "words", "lower", "left", "right", "features")
+    __slots__ = ("start", "end", "mark", "closer", "before", "token", "after", "kind", "space", "inside", "lead", "words", "gap", "lower", "left", "right", "features")
 
 
 def places(text: str) -> list[Place]:
@@ -155,6 +155,7 @@ def places(text: str) -> list[Place]:
         p.start, p.end, p.lower = start, end, lower
         words += len(_WORDS.findall(text, counted, start))
         counted, p.words = end, words
+        p.gap = 5 if mark == " " else min(words, 4)  # scripts that set no marks have chains of their own
         p.left, p.right = text[start - 1 : start], nxt
         p.features = ()
         out.append(p)
@@ -271,7 +272,7 @@ class Tagger:
         inside, ending, back = -1e9, 0.0, []
         for p in found:
             s = sum(get(f, 0.0) for f in p.features)
-            w = min(p.words, 4)
+            w = p.gap
             a, b = inside + pair((0, 0, w), 0.0), ending + pair((1, 0, w), 0.0)
             c, d = inside + pair((0, 1, w), 0.0) + s, ending + pair((1, 1, w), 0.0) + s
             back.append((int(b > a), int(d > c)))
@@ -305,7 +306,7 @@ def train(paragraphs: list[tuple[list[Place], list[int]]], epochs: int = EPOCHS)
                             weights[f] += g - s
                             sums[f] += step * (g - s)
                     if (old_g, g) != (old_s, s):
-                        w = min(p.words, 4)
+                        w = p.gap
                         for key, sign in (((old_g, g, w), 1), ((old_s, s, w), -1)):
                             pairs[key] += sign
                             pair_sums[key] += step * sign
