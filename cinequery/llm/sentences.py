@@ -63,7 +63,7 @@ ABBREVIATIONS = frozenset(
     dr mr mrs ms prof st sgt lt capt col gen rev no nos fig figs vs cf approx min max vol ch sec pp eg ie viz esp incl
     jan feb mar apr jun jul aug sep sept oct nov dec
     m mm mme mlle pr me ex env av bd ste
-    z u i s d b ca bzw evtl abb hrn hr fr dipl nr str bspw ggf vgl
+    z u i s d b ca bzw evtl abb hrn hr fr dipl ing nr str bspw ggf vgl
     т е г ул стр рис руб им проф акад гл см напр тыс млн
     д डॉ श्री प्रो د أ
     """.split()
