@@ -65,11 +65,12 @@ def score(index: KeywordIndex, queries: DataFrame) -> DataFrame:
     """(query_id, lane, video_id, shot_id, score) of every document that holds a query word."""
     terms = query_terms(queries)
     wanted = terms.select("term").distinct()
-    if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        terms, wanted = F.broadcast(terms), F.broadcast(wanted)
-    found = index.postings.join(wanted, "term", "left_semi")
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    small = F.broadcast if few else lambda df: df
+    found = index.postings.join(small(wanted), "term", "left_semi")
+    holding = small(found.groupBy("lane", "term").agg(F.count(F.lit(1)).alias("holding")))  # a row a query term and lane
     weighed = (
-        found.join(found.groupBy("lane", "term").agg(F.count(F.lit(1)).alias("holding")), ["lane", "term"])
+        found.join(holding, ["lane", "term"])
         .join(index.lengths, DOCUMENT)
         .join(F.broadcast(index.stats), "lane")  # one row a lane
         .select(
@@ -78,7 +79,7 @@ def score(index: KeywordIndex, queries: DataFrame) -> DataFrame:
             (inverse_frequency(F.col("documents"), F.col("holding")) * term_weight(F.col("tf"), F.col("length"), F.col("average"), index.k1, index.b)).alias("weight"),
         )
     )
-    return weighed.join(terms, "term").groupBy("query_id", *DOCUMENT).agg(F.sum("weight").alias("score"))
+    return weighed.join(small(terms), "term").groupBy("query_id", *DOCUMENT).agg(F.sum("weight").alias("score"))
 
 
 def search(index: KeywordIndex, queries: DataFrame, depth: int) -> DataFrame:

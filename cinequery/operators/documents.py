@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cinequery.functions.numbers import clamp
 from cinequery.functions.text import contains_phrase, tidy, tokens
@@ -69,12 +70,23 @@ def overlapping(segments: DataFrame, shots: DataFrame, padding_ms: int = 0, cell
 def speech_lines(segments: DataFrame, shots: DataFrame, keyframes: DataFrame, padding_ms: int = 0) -> DataFrame:
     """Each segment in every shot it touches, on the indexed keyframe nearest to when it is heard there.
 
-    The nearest keyframe of a shot is that of the last time up to the moment or the first after it,
-    so keyframes of a shot are folded to a sorted array once: no pair of segment and keyframe is made.
+    Pairs and keyframes of a shot are merged by time: the last keyframe before and the first after come
+    from two running windows over one exchange, so no pair of segment and keyframe is made and no
+    shot's keyframes are gathered. Of two equally near, the earlier keyframe.
     """
-    frames = F.array_sort(F.collect_list(F.struct("time_ms", "frame_index", "keyframe_id")))
-    map_ = keyframes.where("indexed").groupBy("video_id", "shot_id").agg(frames.alias("_frames"))
-    pairs = overlapping(segments, shots, padding_ms).join(map_, ["video_id", "shot_id"])
+    shot = ["video_id", "shot_id"]
+    frame = F.struct("time_ms", "frame_index", "keyframe_id")
+    none = keyframes.select(frame.alias("f")).schema["f"].dataType
+    places = keyframes.where("indexed").select(*shot, F.col("time_ms").alias("heard"), F.col("frame_index").alias("_order"), frame.alias("_frame"), F.lit(None).cast("string").alias("segment_id"), F.lit(None).cast("string").alias("text"))
+    kind = segments.schema["segment_id"].dataType
+    pairs = overlapping(segments, shots, padding_ms)
     heard = clamp(F.col("segment_start"), F.col("shot_start"), F.col("shot_end"))
-    nearest = F.array_min(F.transform("_frames", lambda f: F.struct(F.abs(f["time_ms"] - F.col("heard")).alias("gap"), f["frame_index"].alias("frame_index"), f["keyframe_id"].alias("keyframe_id"), f["time_ms"].alias("time_ms"))))
-    return pairs.withColumn("heard", heard).withColumn("_near", nearest).select("segment_id", "video_id", "shot_id", "heard", "_near.keyframe_id", "_near.frame_index", "_near.time_ms", "text")
+    asked = pairs.select(*shot, heard.alias("heard"), F.lit(None).cast("bigint").alias("_order"), F.lit(None).cast(none).alias("_frame"), F.col("segment_id").cast("string").alias("segment_id"), "text")
+    both = places.unionByName(asked)
+    # At one time keyframes stand before pairs, the lowest frame index last of them.
+    up = Window.partitionBy(*shot).orderBy("heard", F.col("_order").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*shot).orderBy(F.col("heard").desc(), F.col("_order").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_before", F.last("_frame", ignorenulls=True).over(up)).withColumn("_after", F.last("_frame", ignorenulls=True).over(down))
+    near = lambda f: F.when(F.col(f).isNotNull(), F.struct(F.abs(F.col(f)["time_ms"] - F.col("heard")).alias("gap"), F.col(f)["frame_index"].alias("frame_index"), F.col(f)["keyframe_id"].alias("keyframe_id"), F.col(f)["time_ms"].alias("time_ms")))
+    chosen = seen.where("segment_id is not null").withColumn("_near", F.least(near("_before"), near("_after"))).where("_near is not null")
+    return chosen.select(F.col("segment_id").cast(kind).alias("segment_id"), *shot, "heard", "_near.keyframe_id", "_near.frame_index", "_near.time_ms", "text")

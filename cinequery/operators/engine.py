@@ -33,7 +33,7 @@ class VisualLane(Lane):
     def search(self, query: str, depth: int) -> DataFrame:
         vector = self.encode(self.translate(query) if self.translate else query)
         asked = self.index.sparkSession.createDataFrame([(1, [float(x) for x in vector])], "query_id int, query_vector array<double>")
-        scored = vector_search.scored_frames(vector_search.usable_vectors(self.index), asked)
+        scored = vector_search.scored_frames(self.index, asked, keep=hits.MAX_LIMIT)
         return hits.frame_lane(scored, ["query_id"], depth, [F.round("score", 12).desc(), F.col("keyframe_id")]).drop("query_id")
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinequery.functions.numbers import cosine, dot
 from cinequery.operators.hits import FRAME, MAX_LIMIT, rank_rows
 
 #: Query vectors up to which they are broadcast to the scan of the index; more must come in batches.
@@ -23,21 +27,65 @@ def examples(index: DataFrame, count: int) -> DataFrame:
     return rank_rows(first, [], [F.col("id")], into="query_id").select("query_id", F.col("vector").alias("query_vector"))
 
 
-def scored_frames(index: DataFrame, queries: DataFrame, similarity: str = "cosine") -> DataFrame:
+def _scorer(vectors: np.ndarray, numbers: list, measure: str, keep: int | None):
+    """Scores batches against all query vectors by one matrix product each.
+
+    With ``keep``, a batch passes on only rows at or above its ``keep``-th best distinct score of a
+    query, which the query's best ``keep`` frames always are, copies or not.
+    """
+    width = vectors.shape[1]
+    if measure == "cosine":
+        length = np.linalg.norm(vectors, axis=1, keepdims=True)
+        vectors = np.divide(vectors, length, out=np.full_like(vectors, np.nan), where=length > 0)
+    names = ["query_id", *FRAME, "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("vector")
+            fits = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), width), False).to_numpy(zero_copy_only=False))
+            if not len(fits):
+                continue
+            rows = batch.take(pa.array(fits))
+            x = pc.list_flatten(rows.column("vector")).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+            length = np.linalg.norm(x, axis=1, keepdims=True)
+            x = np.divide(x, length if measure == "cosine" else 1.0, out=np.full_like(x, np.nan), where=length > 0)
+            scores = x @ vectors.T
+            for q, number in enumerate(numbers):
+                score = scores[:, q]
+                good = np.isfinite(score)
+                if keep is not None and good.sum() > keep:
+                    distinct = np.unique(np.round(score[good], 12))
+                    good &= np.round(np.where(good, score, -np.inf), 12) >= distinct[max(0, len(distinct) - keep)]
+                at = pa.array(np.flatnonzero(good))
+                if len(at):
+                    yield pa.record_batch([pa.array([number] * len(at), pa.int32()), *(rows.column(c).take(at) for c in FRAME), pa.array(score[good])], names)
+
+    return run
+
+
+def scored_frames(index: DataFrame, queries: DataFrame, similarity: str = "cosine", keep: int | None = None) -> DataFrame:
     """Every indexed frame scored against every row of ``queries(query_id, query_vector)``.
 
-    The stated query set goes to the index, whose rows stay where they are: one pass, no shuffle.
+    The stated query set goes to the index, whose rows stay where they are: one pass, a matrix
+    product a batch, no shuffle. Rows whose vector is null, zero or of
+    another length are left out.
     """
-    if queries.limit(BROADCAST_VECTORS + 1).count() > BROADCAST_VECTORS:
+    if similarity not in ("cosine", "dot"):
+        raise ValueError("similarity is cosine or dot")
+    asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("v")).limit(BROADCAST_VECTORS + 1).collect()
+    if len(asked) > BROADCAST_VECTORS:
         raise ValueError(f"more than {BROADCAST_VECTORS} query vectors in one call")
-    measure = {"cosine": cosine, "dot": dot}[similarity]
-    pairs = index.join(F.broadcast(queries), F.lit(True))
-    return pairs.select("query_id", *FRAME, measure(F.col("vector"), F.col("query_vector")).alias("score"))
+    kinds = {f.name: f.dataType.simpleString() for f in index.schema}
+    schema = ", ".join(["query_id int", *(f"{c} {kinds[c]}" for c in FRAME), "score double"])
+    if not asked:
+        return index.sparkSession.createDataFrame([], schema)
+    vectors = np.array([r.v for r in asked], np.float64)
+    return index.select(*FRAME, "vector").mapInArrow(_scorer(vectors, [r.query_id for r in asked], similarity, keep), schema)
 
 
 def search(index: DataFrame, queries: DataFrame, limit: int, video_id: str | None = None) -> DataFrame:
     """Ranked frames by cosine, at most ``limit`` (and never over 16,384), ties by keyframe id."""
     if video_id is not None:
         index = index.where(F.col("video_id") == F.lit(video_id))
-    scored = scored_frames(index, queries).where("score is not null")
-    return rank_rows(scored, ["query_id"], [F.round("score", 12).desc(), F.col("keyframe_id")], min(limit, MAX_LIMIT), copies=True)
+    limit = min(limit, MAX_LIMIT)
+    return rank_rows(scored_frames(index, queries, keep=limit), ["query_id"], [F.round("score", 12).desc(), F.col("keyframe_id")], limit, copies=True)

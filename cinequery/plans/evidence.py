@@ -44,7 +44,7 @@ def bm25_frame(s: SparkSession, d: str) -> DataFrame:
 
 def kis_fused(s: SparkSession, d: str) -> DataFrame:
     """A visual box and an OCR box, fused and shaped."""
-    scored = vector_search.scored_frames(views.vectors(s, d), vector_search.examples(table(s, d, "milvus_index"), 1))
+    scored = vector_search.scored_frames(views.vectors(s, d), vector_search.examples(table(s, d, "milvus_index"), 1), keep=hits.MAX_LIMIT)
     columns = ["rank", "video_id", "shot_id", "keyframe_id", "frame_index", "time_ms", "score", "others"]
     visual = hits.frame_lane(scored, ["query_id"], DEPTH, [F.round("score", 12).desc(), F.col("keyframe_id")]).select(*columns)
     words = bm25.search(bm25.build(views.lines(s, d, "ocr"), K1, B), query_frame(s, {1: KEYWORDS[1]}), DEPTH).select(*columns)

@@ -32,7 +32,7 @@ def vec_in_video(s: SparkSession, d: str) -> DataFrame:
 
 
 def _visual(s: SparkSession, d: str, count: int = 1) -> DataFrame:
-    scored = vector_search.scored_frames(views.vectors(s, d), _example(s, d, count))
+    scored = vector_search.scored_frames(views.vectors(s, d), _example(s, d, count), keep=hits.MAX_LIMIT)
     return hits.frame_lane(scored, ["query_id"], DEPTH, [F.round("score", 12).desc(), F.col("keyframe_id")])
 
 

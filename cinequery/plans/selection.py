@@ -16,9 +16,8 @@ GAP, RADIUS, DISTANCE = 100, 40, 6
 
 
 def kf_indexed(s: SparkSession, d: str) -> DataFrame:
-    """Indexed keyframes of the live stream, in order."""
-    rows = table(s, d, "keyframes").where((F.col("video_id") == "L20_V001") & F.col("indexed"))
-    return rows.select("keyframe_id", "frame_index", "time_ms").dropDuplicates(["keyframe_id"])
+    """Indexed keyframes, the filter pushed to the scan."""
+    return table(s, d, "keyframes").where("indexed").select("video_id", "keyframe_id", "frame_index", "time_ms").dropDuplicates(["keyframe_id"])
 
 
 def kf_middle(s: SparkSession, d: str) -> DataFrame:
@@ -122,7 +121,7 @@ def _groups(gate: str) -> str:
 
 
 SQL: dict[str, str] = {
-    "kf_indexed": "select distinct keyframe_id, frame_index, time_ms from keyframes where video_id = 'L20_V001' and indexed",
+    "kf_indexed": "select distinct video_id, keyframe_id, frame_index, time_ms from keyframes where indexed",
     "kf_middle": "select video_id, shot_id, (start_frame + end_frame) // 2 as frame_index, printf('%s_%06d', video_id, (start_frame + end_frame) // 2) as keyframe_id from shots",
     "kf_dense": f"with {_SLOTS} select * from slots",
     "kf_sharpest": f"""with {sql_view('kf')}, {_SLOTS} select video_id, shot_id, slot_no, keyframe_id, frame_index, sharpness

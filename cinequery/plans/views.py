@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinequery.operators import vector_search
 from cinequery.sources.tables import table
 
 KEYFRAME = "video_id keyframe_id shot_id frame_index time_ms pts time_base time_source image sharpness brightness entropy dhash rejected group_no indexed".split()
@@ -42,7 +41,8 @@ def hits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return vector_search.usable_vectors(table(spark, folder, "milvus_index"))
+    """Stored vectors; the searches themselves leave out zero ones and count copies once."""
+    return table(spark, folder, "milvus_index").where("vector is not null")
 
 
 # The same in SQL.
