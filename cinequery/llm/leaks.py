@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from cinequery.functions.characters import MARKS, UNDRAWN
 
-#: Words of evaluation text up to which the automaton is built (about 100 bytes a word and worker).
-MAX_ITEM_WORDS = 2_000_000
+#: Characters of evaluation text up to which one automaton is built. Held-out sets don't grow with the corpus.
+MAX_ITEM_CHARACTERS = 10_000_000
 
 _WORD = re.compile(r"\w+")
 _MARKS, _UNDRAWN = re.compile(f"[{MARKS}]+"), re.compile(f"[{UNDRAWN}]+")
@@ -103,12 +103,11 @@ def find_leaks(documents: DataFrame, items: DataFrame, document_key: str, text:
     """(document key, item key, start_char, end_char): every quotation of at least ``min_words`` words of an item."""
     if min_words < 1:
         raise ValueError("min_words must be at least 1")
-    # The items are a held-out set, of a size that does not grow with the corpus; the bound is checked.
     held, total = [], 0
     for row in items.select(item_key, item_text).dropna().toLocalIterator():
-        total += len(row[1]) // 2 + 1
-        if total > MAX_ITEM_WORDS * 4:
-            raise ValueError(f"more than about {MAX_ITEM_WORDS} words of evaluation text; scan it in parts")
+        total += len(row[1])
+        if total > MAX_ITEM_CHARACTERS:
+            raise ValueError(f"more than {MAX_ITEM_CHARACTERS} characters of evaluation text; scan it in parts")
         held.append((row[0], row[1]))
     held = list(dict.fromkeys(held))
     sent = documents.sparkSession.sparkContext.broadcast(held)
