@@ -72,3 +72,8 @@ def entropy_bits(share: Column) -> Column:
 def box_share(edge: Column, size: Column) -> Column:
     """An edge of a box as a fraction of the picture, to 4 digits."""
     return F.bround(edge / size, 4)
+
+
+def segment_ms(seconds: Column, track_start_ms: Column) -> Column:
+    """Seconds of an audio track as milliseconds on the file's clock, half to even."""
+    return F.bround(track_start_ms + seconds * 1000, 0).cast("long")

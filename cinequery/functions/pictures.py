@@ -14,20 +14,28 @@ def measure(grey: np.ndarray) -> dict[str, float]:
     return {"sharpness": round(float(laplacian.var()), 3), "brightness": round(float(np.mean(grey)), 3), "entropy": round(float(-(share * np.log2(share)).sum()), 4) + 0.0}
 
 
-def shrink(grey: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means of a grid of cells, edges weighted by their share."""
+def _lanczos(size: int, cells: int) -> np.ndarray:
+    """(cells, size) weights of the windowed-sinc filter with three lobes, widened by the reduction."""
+    scale = size / cells
+    wide = max(scale, 1.0)
+    centre = (np.arange(cells)[:, None] + 0.5) * scale
+    at = np.arange(size)[None, :]
+    low = np.maximum(np.floor(centre - 3 * wide + 0.5), 0)
+    high = np.minimum(np.floor(centre + 3 * wide + 0.5), size)
+    x = (at + 0.5 - centre) / wide
+    weight = np.where((at >= low) & (at < high) & (np.abs(x) < 3), np.sinc(x) * np.sinc(x / 3), 0.0)
+    return weight / weight.sum(1, keepdims=True)
 
-    def weights(size: int, cells: int) -> np.ndarray:
-        edges = np.linspace(0, size, cells + 1)
-        at = np.arange(size)
-        part = np.clip(np.minimum(edges[1:, None], at + 1) - np.maximum(edges[:-1, None], at), 0, None)
-        return part / part.sum(1, keepdims=True)
 
-    return weights(grey.shape[0], height) @ np.asarray(grey, np.float64) @ weights(grey.shape[1], width).T
+def shrink(grey: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Resampled to whole grey levels, first across, then down."""
+    level = lambda x: np.clip(np.floor(x + 0.5), 0, 255)
+    across = level(np.asarray(grey, np.float64) @ _lanczos(grey.shape[1], width).T)
+    return level(_lanczos(grey.shape[0], height) @ across)
 
 
 def difference_hash(grey: np.ndarray, size: int = 8) -> str:
     """One bit a pair of horizontal neighbours of the shrunk picture, set where it gets brighter, as hexadecimal digits."""
-    small = np.rint(shrink(grey, size, size + 1))
-    bits = np.packbits((small[:, 1:] > small[:, :-1]).ravel())
-    return bits.tobytes().hex()
+    small = shrink(grey, size, size + 1)
+    bits = (small[:, 1:] > small[:, :-1]).ravel()
+    return f"{int(''.join('1' if b else '0' for b in bits), 2):0{size * size // 4}x}"

@@ -33,3 +33,11 @@ def frame_mismatch(counts: DataFrame, listed: DataFrame) -> DataFrame:
     both = counts.join(listed.select("video_id", F.col("frames").alias("_listed")), "video_id", "left")
     text = F.format_string("%s: %d frames, the list has %d", "video_id", "frames", "_listed")
     return both.where(F.col("_listed").isNotNull() & (F.col("frames") != F.col("_listed"))).select("video_id", text.alias("message"))
+
+
+def same_frames(decoded: DataFrame, detected: DataFrame) -> DataFrame:
+    """``decoded(video_id, frames)``, an error where the shot detector saw another number of frames, or none were decoded."""
+    both = decoded.join(detected.select("video_id", F.col("frames").alias("_seen")), "video_id")
+    said = F.format_string("%s: %d frames decoded, %d seen by the detector", "video_id", "frames", "_seen")
+    sound = (F.col("frames") == F.col("_seen")) & (F.col("frames") > 0)
+    return both.select("video_id", F.when(sound, F.col("frames")).otherwise(F.raise_error(said).cast("long")).alias("frames"))

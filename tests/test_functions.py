@@ -67,3 +67,10 @@ def test_picture_measures():
     assert pictures.difference_hash(ramp) == "f" * 16
     assert pictures.difference_hash(ramp[:, ::-1]) == "0" * 16
     assert pictures.difference_hash(np.repeat(np.repeat(ramp, 5, 0), 3, 1)) == "f" * 16
+    assert np.array_equal(pictures.shrink(ramp, 8, 9), ramp)  # nothing to resample
+    assert (pictures.shrink(np.full((30, 50), 77, np.uint8), 8, 9) == 77).all()
+
+
+def test_segment_times(spark):
+    assert one(spark, numbers.segment_ms(F.lit(1.2345), F.lit(10))) == 1244
+    assert one(spark, numbers.segment_ms(F.lit(0.5), F.lit(0.5))) == 500

@@ -107,6 +107,14 @@ def test_state(spark):
     assert [r.message for r in incremental.frame_mismatch(counts, listed).collect()] == ["B: 5 frames, the list has 6"]
 
 
+def test_frame_counts_must_agree(spark):
+    counts = lambda n: spark.createDataFrame([("A", n)], "video_id string, frames bigint")
+    assert incremental.same_frames(counts(3), counts(3)).first().frames == 3
+    for a, b in ((3, 4), (0, 0)):
+        with pytest.raises(PySparkException, match="A: "):
+            incremental.same_frames(counts(a), counts(b)).collect()
+
+
 def test_answers(spark):
     rows = spark.createDataFrame([(1, "V1", 7, 280, " Hà Nội,  Việt Nam "), (2, " ", 1, 1, "x"), (3, "V", -1, 1, "x"), (4, "V", 1, 1, "  "), (5, "V", 1, 1, "a-b")], "row int, video_id string, frame_index bigint, time_ms bigint, answer string")
     assert submission.kis(rows, 1).first().sent == '{"mediaItemName":"V1","start":280,"end":280}'
