@@ -15,7 +15,8 @@ rows.
 Defined results: similarity is the cosine. Rows with a null key, or a vector that is null, zero, not
 finite or of another length than the first of the sample have no similarity and take no part. A key
 that comes more than once is one item (with the vector first by its bytes, if they differ).
-Identical vectors are one node of the graph and come out as separate items. Equal similarities are
+Identical vectors are one node of the graph and come out as separate items; a vector with more
+copies than a shard has rows is indexed by its first k + 1 copies, which are all that can matter. Equal similarities are
 ordered by key. Fewer than k others: all that are found. Empty input: no rows.
 """
 
@@ -32,11 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cinequery.llm.graph import Graph, unit
+from cinequery.sources.tables import materialize
 
 #: Rows, at most, on which the quantiser is fitted. All rows are indexed.
 SAMPLE = 20_000
 MAX_CELLS = 8_192
 LEAST_SHARD = 2_000
+#: Similarities to cells that a task works out at once.
+CELL_BLOCK = 4_000_000
 
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,39 +82,70 @@ def fit_cells(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 7) ->
 
 
 def _assigner(sent, width: int, probes: int, margin: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, first, salts = sent.value
+    def part(keys: pa.Array, points: np.ndarray, asks: np.ndarray, mix: np.ndarray) -> pa.RecordBatch:
+        centres, first, salts, copied = sent.value
         depth = min(probes, len(centres))
+        at = np.arange(len(points))
+        close = points @ centres.T
+        near = np.argpartition(-close, depth - 1, axis=1)[:, :depth] if depth < len(centres) else np.broadcast_to(np.arange(depth), (len(points), depth))
+        near = np.take_along_axis(near, np.argsort(-np.take_along_axis(close, near, 1), axis=1), 1)
+        home = near[:, 0]
+        salt = mix % salts[home]
+        raw = _pack(points)
+        shard = first[home] + salt
+        alone = np.zeros(len(points), bool)
+        if copied:  # a vector with very many copies has a negative shard and asks nowhere
+            number = np.array([copied.get(x, -1) for x in raw.to_pylist()])
+            alone = number >= 0
+            shard = np.where(alone, -1 - number, shard)
+        rows, shards, owns = [at], [shard], [np.ones(len(at), bool)]
+        for d in range(depth):
+            cell = near[:, d]
+            gap = (close[at, home] - close[at, cell]) / np.maximum(np.linalg.norm(centres[home] - centres[cell], axis=1), 1e-9)
+            sent_to = asks & ~alone & (gap <= margin)
+            for s in range(int(salts[cell].max(initial=1))):
+                use = np.flatnonzero(sent_to & (s < salts[cell]) & ((d > 0) | (s != salt)))
+                if len(use):
+                    rows.append(use), shards.append(first[cell[use]] + s), owns.append(np.zeros(len(use), bool))
+        r, own = np.concatenate(rows), np.concatenate(owns)
+        return pa.record_batch(
+            {
+                "shard": pa.array(np.concatenate(shards).astype(np.int32)),
+                "own": pa.array(own),
+                "asks": pa.array(asks[r] | ~own),
+                "key": keys.take(pa.array(r)),
+                "vector": raw.take(pa.array(r)),
+            }
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(128, CELL_BLOCK // len(sent.value[0]))
         for batch in batches:
             places, points = _matrix(batch.column(1), width)
-            if not len(places):
-                continue
-            keys = batch.column(0).take(pa.array(places))
-            asks = batch.column(2).take(pa.array(places)).to_numpy(zero_copy_only=False).astype(bool)
-            at = np.arange(len(points))
-            close = points @ centres.T
-            near = np.argpartition(-close, depth - 1, axis=1)[:, :depth] if depth < len(centres) else np.broadcast_to(np.arange(depth), (len(points), depth))
-            near = np.take_along_axis(near, np.argsort(-np.take_along_axis(close, near, 1), axis=1), 1)
-            home = near[:, 0]
-            salt = batch.column(3).take(pa.array(places)).to_numpy() % salts[home]
-            rows, shards, owns = [at], [first[home] + salt], [np.ones(len(at), bool)]
-            for d in range(depth):
-                cell = near[:, d]
-                gap = (close[at, home] - close[at, cell]) / np.maximum(np.linalg.norm(centres[home] - centres[cell], axis=1), 1e-9)
-                sent_to = asks & (gap <= margin)
-                for s in range(int(salts[cell].max(initial=1))):
-                    use = np.flatnonzero(sent_to & (s < salts[cell]) & ((d > 0) | (s != salt)))
-                    if len(use):
-                        rows.append(use), shards.append(first[cell[use]] + s), owns.append(np.zeros(len(use), bool))
-            r, own = np.concatenate(rows), np.concatenate(owns)
-            raw = _pack(points)
+            kept = batch.take(pa.array(places))
+            asks = kept.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            mix = kept.column(3).to_numpy()
+            for i in range(0, len(points), step):
+                yield part(kept.column(0).slice(i, step), points[i : i + step], asks[i : i + step], mix[i : i + step])
+
+    return run
+
+
+def _reindexer(sent, width: int):
+    """Packed vectors to their home shards, as rows that ask nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, first, salts, _ = sent.value
+        for batch in batches:
+            home = (_unpack(batch.column(1).to_pylist(), width) @ centres.T).argmax(1) if batch.num_rows else np.array([], int)
+            n = batch.num_rows
             yield pa.record_batch(
                 {
-                    "shard": pa.array(np.concatenate(shards).astype(np.int32)),
-                    "own": pa.array(own),
-                    "asks": pa.array(asks[r] | ~own),
-                    "key": keys.take(pa.array(r)),
-                    "vector": raw.take(pa.array(r)),
+                    "shard": pa.array((first[home] + np.arange(n) % salts[home]).astype(np.int32)),
+                    "own": pa.array(np.ones(n, bool)),
+                    "asks": pa.array(np.zeros(n, bool)),
+                    "key": batch.column(0),
+                    "vector": batch.column(1),
                 }
             )
 
@@ -230,10 +265,29 @@ def similar_vectors(
     held = np.bincount((sample @ centres.T).argmax(1), minlength=cells) * (total / len(sample))
     salts = np.maximum(1, np.ceil(held / (2 * max(shard, total // cells)))).astype(np.int64)
     first = np.cumsum(salts) - salts
-    sent = spark.sparkContext.broadcast((centres, first, salts))
+    # Vectors of which there must be more copies than a shard has rows, by the sample.
+    packed, times = np.unique(np.array(_pack(sample).to_pylist(), object), return_counts=True)
+    copied = {v: i for i, v in enumerate(packed[(times >= 3) & (times * (total / len(sample)) > shard)])}
+    sent = spark.sparkContext.broadcast((centres, first, salts, copied))
 
-    spread = usable.mapInArrow(_assigner(sent, width, probes, margin), f"shard int, own boolean, asks boolean, key {kind}, vector binary")
+    kinds = f"shard int, own boolean, asks boolean, key {kind}, vector binary"
+    spread = usable.mapInArrow(_assigner(sent, width, probes, margin), kinds)
+    same = None
+    if copied:
+        # Whoever has k copies has these, first by key, as its k most similar; and for all others only the
+        # first k + 1 copies can matter. So these few stand for all in the index, and the rest never meet.
+        copies = spread.where("shard < 0").select("shard", "key", "vector", "asks")
+        lead = Window.partitionBy("shard").orderBy("key")
+        heads = copies.withColumn("_r", F.dense_rank().over(lead)).where(F.col("_r") <= k + 1).dropDuplicates(["shard", "_r"])
+        heads = materialize(heads, "copies")
+        listed = heads.groupBy("shard").agg(F.array_sort(F.collect_list("key")).alias("_heads"))  # k + 1 keys a vector
+        others = F.slice(F.array_except("_heads", F.array("key")), 1, k)
+        same = copies.where("asks").join(F.broadcast(listed), "shard").select(F.col("key").alias("a"), F.explode(others).alias("b"), F.lit(1.0).alias("similarity"))
+        alone = spark.sparkContext.broadcast((centres, first, salts, {}))
+        spread = spread.where("shard >= 0").unionByName(heads.select("key", "vector").mapInArrow(_reindexer(alone, width), kinds))
     found = spread.groupBy("shard").applyInArrow(_searcher(width, k, least, degree, build_beam, beam), f"a {kind}, b {kind}, similarity double")
+    if same is not None:
+        found = found.unionByName(same.where(F.col("similarity") >= least))
     best = Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b")
     # A key has one home, so no pair comes twice, unless a key has several vectors.
     return (

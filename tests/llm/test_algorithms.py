@@ -127,6 +127,18 @@ def test_similar_vectors_of_a_crowded_cell_and_of_nothing(spark, monkeypatch):
     assert vectors.similar_vectors(df.limit(1), "id", "v", 3).count() == 0
 
 
+def test_very_many_copies_of_a_vector(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"c{i:04d}", [0.5, 1.0, -1.0, 2.0]) for i in range(400)] + [(f"d{i:04d}", [0.5, 1.0, -1.0, 2.0 + 0.01 * i]) for i in range(5)]
+    rows += [(f"x{i:04d}", rng.normal(size=4).tolist()) for i in range(800)]
+    df = spark.createDataFrame(rows, "id string, v array<float>")
+    got = defaultdict(set)
+    for r in vectors.similar_vectors(df, "id", "v", 3, least=0.99, shard_rows=60, probes=8, margin=1.0, beam=24).collect():
+        got[r.key_a].add(r.key_b)
+    assert all(got[f"c{i:04d}"] == {"c0000", "c0001", "c0002"} for i in range(3, 400)) and got["c0001"] == {"c0000", "c0002", "c0003"}
+    assert len(got["d0004"]) == 3 and all(b[0] in "cd" for b in got["d0004"])
+
+
 # -- problem 4
 
 
