@@ -49,25 +49,17 @@ def widened(ranked: DataFrame, by: Sequence[str], depth: int, cap: int = MAX_LIM
     In one pass: with r the rank where the depth-th distinct shot first appears, the limit is the
     smallest depth * 2^i that reaches r, at most ``cap``; without such r it is ``cap``.
     """
-    ranked = ranked.where(F.col("rank") <= cap)
-    first = Window.partitionBy(*by, "video_id", "shot_id").orderBy("rank")
-    marked = ranked.withColumn("_new", (F.row_number().over(first) == 1).cast("int"))
-    reach = (
-        marked.where("_new = 1")
-        .withColumn("_shot", F.row_number().over(Window.partitionBy(*by).orderBy("rank")))
-        .where(F.col("_shot") == depth)
-        .select(*by, F.col("rank").alias("_reach"))
-    )
+    # The windows share the ranking's partitioning, so there is neither a join nor another exchange.
+    query = Window.partitionBy(*by)
+    first = F.row_number().over(Window.partitionBy(*by, "video_id", "shot_id").orderBy("rank")) == 1
+    marked = ranked.where(F.col("rank") <= cap).withColumn("_new", first)
+    marked = marked.withColumn("_shots", F.sum(F.col("_new").cast("int")).over(query.orderBy("rank")))
+    marked = marked.withColumn("_reach", F.min(F.when(F.col("_new") & (F.col("_shots") == depth), F.col("rank"))).over(query))
     steps = [min(depth * 2**i, cap) for i in range(64) if i == 0 or depth * 2 ** (i - 1) < cap]
     limit = F.lit(cap)
     for step in reversed(steps):
         limit = F.when(F.col("_reach") <= step, F.lit(step)).otherwise(limit)
-    joined = marked.crossJoin(F.broadcast(_one_row(reach))) if not by else marked.join(reach, list(by), "left")
-    return joined.where(F.col("rank") <= limit).drop("_new", "_reach")
-
-
-def _one_row(reach: DataFrame) -> DataFrame:
-    return reach.agg(F.max("_reach").alias("_reach"))
+    return marked.where(F.col("rank") <= limit).drop("_new", "_shots", "_reach")
 
 
 def frame_lane(frames: DataFrame, by: Sequence[str], depth: int, order: Sequence[Column] | None = None, cap: int = MAX_LIMIT) -> DataFrame:
