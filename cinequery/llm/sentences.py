@@ -38,6 +38,8 @@ from cinequery.functions.characters import MARKS, UNDRAWN, ranges
 TRAINING_DOCUMENTS = 2_500
 TRAINING_CHARACTERS = 20_000
 EPOCHS = 5
+#: Scores that a task remembers.
+REMEMBERED = 200_000
 
 _CAPITAL = re.compile(f"[{ranges(str.isupper)}]")
 _UNDRAWN, _MN = re.compile(f"[{UNDRAWN}]"), re.compile(f"[{MARKS}]+")
@@ -45,7 +47,7 @@ _UNDRAWN, _MN = re.compile(f"[{UNDRAWN}]"), re.compile(f"[{MARKS}]+")
 _SPACED = "฀-໿"
 _CLOSERS = "\"'”“»’)\\]}」』）】〉》"
 _WIDE = "。！？｡！？︒"
-_MARKED = rf"(?:[.!?…؟۔।॥]|[{_WIDE}])+(?:[   ]?[{_CLOSERS}](?![^\W_]))*"
+_MARKED = rf"(?:\.(?!\d)|[!?…؟۔।॥]|[{_WIDE}])+(?:[   ]?[{_CLOSERS}](?![^\W_]))*"
 _SPACE = rf"(?<=[{_SPACED}\d])[^\S\n]*\n?[^\S\n]*(?<=\s)(?=\S)"
 _CANDIDATE, _CANDIDATE_SPACED = re.compile(_MARKED), re.compile(f"{_MARKED}|{_SPACE}")
 _HAS_SPACED = re.compile(f"[{_SPACED}]")
@@ -234,7 +236,7 @@ def _features(p: Place) -> tuple[str, ...]:
     shape = (
         "n" if t.isdigit() else "1" if len(t) == 1 else "u" if "/" in t or "_" in t or t.startswith("www") else "." if "." in t else "h" if any(c.isdigit() for c in t) else "a" if len(t) < 5 else "w" if t else "0"
     )
-    words = min(p.words, 4)
+    words = p.gap
     low, gap = "l" if p.lower else "c", "_" if p.space else "+"
     if p.inside:
         return ("in", "in" + m)
@@ -261,7 +263,18 @@ class Tagger:
     """Weights of features for an ending, and of pairs of neighbouring decisions."""
 
     def __init__(self, weights: dict[str, float], pairs: dict[tuple[int, int, int], float]):
-        self.weights, self.pairs = weights, pairs
+        self.weights, self.pairs, self.known = weights, pairs, {}
+
+    def score(self, p: Place) -> float:
+        """What speaks for an ending; remembered, as the same words meet around marks again and again."""
+        key = (p.token, p.mark, p.kind, p.space, p.lower, p.closer, p.lead, p.after, p.gap, p.inside, p.left, p.right)
+        found = self.known.get(key)
+        if found is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            get = self.weights.get
+            found = self.known[key] = sum(get(f, 0.0) for f in _features(p))
+        return found
 
     def decode(self, found: list[Place]) -> list[int]:
         """The best sequence of decisions (Viterbi)."""
@@ -271,7 +284,7 @@ class Tagger:
         # The start of a paragraph counts as an ending before it.
         inside, ending, back = -1e9, 0.0, []
         for p in found:
-            s = sum(get(f, 0.0) for f in p.features)
+            s = sum(get(f, 0.0) for f in p.features) if p.features else self.score(p)
             w = p.gap
             a, b = inside + pair((0, 0, w), 0.0), ending + pair((1, 0, w), 0.0)
             c, d = inside + pair((0, 1, w), 0.0) + s, ending + pair((1, 1, w), 0.0) + s
@@ -372,8 +385,6 @@ def cut(text: str | None, tagger: Tagger) -> list[tuple[int, int]]:
     for a, b in _paragraphs(clean):
         paragraph = clean[a:b]
         found = places(paragraph)
-        for p in found:
-            p.features = _features(p)
         begin = 0
         for end in [*(p.end for p, label in zip(found, tagger.decode(found)) if label), len(paragraph)]:
             piece = paragraph[begin:end]
