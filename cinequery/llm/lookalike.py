@@ -4,7 +4,7 @@ Each distinct value is mapped to a *skeleton*: characters that are not drawn are
 spaces become one kind, width and presentation variants and look-alike letters of other scripts
 become one character. Skeletons are grouped in SQL under Spark's accent- and case-sensitive Unicode
 collation, which takes the codings of a mark for equal; every class gets a deterministic canonical
-member (the shortest value, then the first by code point) that is joined back to all its members.
+member (the shortest value, then the first by code point) that is joined back to all rows.
 
 The collation's weights also treat a few visibly different strings as equal: digits of different
 scripts, Thai and Lao vowels and their consonant in either order, some Hebrew and Quranic marks. An
@@ -26,6 +26,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cinequery.functions.characters import undrawn
 
@@ -133,11 +134,8 @@ def classes(texts: DataFrame) -> DataFrame:
         with mapped as (
             select text, skeleton rlike r'[\\p{{{{L}}}}\\p{{{{N}}}}]' as written, collate(skeleton, 'UNICODE') as look, array_join(regexp_extract_all(skeleton, r'{apart}', 0), '') as apart
             from {{drawn}}
-        ),
-        classes as (
-            select look, apart, min(struct(char_length(text) as length, text)).text as canonical from mapped group by look, apart
         )
-        select m.text, c.canonical, m.written from mapped m join classes c on m.look = c.look and m.apart = c.apart
+        select text, written, min(struct(char_length(text) as length, text)) over (partition by look, apart).text as canonical from mapped
         """,
         drawn=drawn,
     )
@@ -161,12 +159,14 @@ def same_looking_pairs(rows: DataFrame, key: str, group: Sequence[str], text: st
     whole = F.lit(True)
     for c in wanted:
         whole &= F.col(c).isNotNull()
-    kept = rows.select(*wanted).where(whole).dropDuplicates([*group, key, text])
+    kept = rows.select(*wanted).where(whole)
     found = classes(kept.select(text)).where("written").select(F.col("text").alias("__value"), "canonical")
     lines = kept.join(found, F.col(text) == F.col("__value")).drop("__value")
     by = [*group, "canonical"]
-    mixed = lines.groupBy(*by).agg(F.min(text).alias("_lo"), F.max(text).alias("_hi")).where("_lo <> _hi").select(*by)
-    several = lines.join(mixed, by, "left_semi")
+    # One exchange by class: copies are dropped, classes of a single text left out and pairs made in its partitions.
+    together = Window.partitionBy(*by)
+    single = lines.repartition(*by).dropDuplicates([*by, key, text])
+    several = single.withColumn("__lo", F.min(text).over(together)).withColumn("__hi", F.max(text).over(together)).where("__lo <> __hi").drop("__lo", "__hi")
     a = several.select(*by, F.col(key).alias("key_a"), F.col(text).alias("_text_a"))
     b = several.select(*by, F.col(key).alias("key_b"), F.col(text).alias("_text_b"))
     return a.join(b, by).where("key_a < key_b and _text_a <> _text_b").select("key_a", "key_b")
