@@ -89,8 +89,9 @@ def shape(shots: DataFrame, by: Sequence[str], rows: int = 100, spread: tuple[in
         raise ValueError("rows must be 1 or more")
     frame = ["keyframe_id", "frame_index", "time_ms"]
     placed = video_spread(shots, by, *spread) if spread else shots.withColumn("place", F.col("rank"))
-    heads = placed.select(*by, "video_id", "shot_id", *frame, F.lit(0).alias("_part"), F.col("place").alias("_a"), F.lit(0).alias("_b"))
-    spare = shots.select(*by, "video_id", "shot_id", F.col("rank").alias("_a"), F.posexplode("others").alias("_b", "_o"))
-    spare = spare.select(*by, "video_id", "shot_id", *(F.col(f"_o.{c}").alias(c) for c in frame), F.lit(1).alias("_part"), "_a", "_b")
-    both = heads.unionByName(spare)
+    # A shot's own row and its spares come out of one pass: (0, place, 0) and (1, rank, 1..).
+    entry = lambda part, a, b, of: F.struct(F.lit(part).alias("_part"), a.cast("int").alias("_a"), b.cast("int").alias("_b"), *(of(c).alias(c) for c in frame))
+    head = entry(0, F.col("place"), F.lit(0), F.col)
+    spares = F.transform("others", lambda x, i: entry(1, F.col("rank"), i + 1, lambda c: x[c]))
+    both = placed.select(*by, "video_id", "shot_id", F.explode(F.concat(F.array(head), spares)).alias("_e")).select(*by, "video_id", "shot_id", "_e.*")
     return rank_rows(both, by, [F.col("_part"), F.col("_a"), F.col("_b")], rows, "row").select(*by, "row", "video_id", "shot_id", *frame)
