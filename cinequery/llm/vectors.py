@@ -228,10 +228,10 @@ def similar_vectors(
     least: float = -1.0,
     asks: Column | None = None,
     probes: int = 4,
-    margin: float = 0.05,
-    degree: int = 12,
-    build_beam: int = 12,
-    beam: int = 16,
+    margin: float = 0.07,
+    degree: int = 14,
+    build_beam: int = 14,
+    beam: int = 20,
     shard_rows: int | None = None,
 ) -> DataFrame:
     """(key_a, key_b, similarity): for each ``key_a`` that ``asks``, its ``k`` most similar others with at least ``least``.
