@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from collections.abc import Callable
 
 
+#: Code points to look at: beyond these there are ideographs without a decomposition and private use only.
+CODE_POINTS = (*range(0xD800), *range(0xE000, 0x30000), *range(0xE0000, 0xE1000))
+
+
 def ranges(wanted: Callable[[str], bool]) -> str:
-    """Body of a character class that holds exactly the wanted code points (surrogates never)."""
+    """Body of a character class that holds exactly the wanted code points."""
     out, start, last = [], None, None
-    for code in range(sys.maxunicode + 1):
-        if not 0xD800 <= code < 0xE000 and wanted(chr(code)):
+    for code in CODE_POINTS:
+        if wanted(chr(code)):
+            if start is not None and code != last + 1:
+                out.append(f"\\U{start:08x}-\\U{last:08x}")
+                start = None
             if start is None:
                 start = code
             last = code
-        elif start is not None:
-            out.append(f"\\U{start:08x}-\\U{last:08x}")
-            start = None
     if start is not None:
         out.append(f"\\U{start:08x}-\\U{last:08x}")
     return "".join(out)

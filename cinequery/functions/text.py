@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cinequery.functions.characters import CODE_POINTS
+
 
 @cache
 def _base_letters() -> tuple[str, str]:
     """Characters whose folded form is another single character, and those forms."""
     source, target = [], []
-    for code in range(0x80, sys.maxunicode + 1):
+    for code in CODE_POINTS:
         c = chr(code)
-        if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7A4:
+        if code < 0x80 or 0xAC00 <= code < 0xD7A4:
             continue
         lowered = c.casefold().replace("đ", "d")
         plain = "".join(x for x in unicodedata.normalize("NFD", lowered) if unicodedata.category(x) != "Mn")
