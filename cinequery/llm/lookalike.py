@@ -19,7 +19,6 @@ only, belongs to the class of the empty text. Copies get the same form; extra co
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from collections.abc import Iterator, Sequence
 
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cinequery.functions.characters import undrawn
+from cinequery.functions.characters import CODE_POINTS, undrawn
 
 # Letters and signs of one shape. The first of each line stands for all.
 LOOK_ALIKES = """
@@ -87,10 +86,8 @@ _KEPT_APART = r"[\p{IsThai}\p{IsLao}֑-ֽؐ-ؚۖ-ۭ]|[\p{Nd}&&[^0-9]]"
 
 def _table() -> dict[int, str]:
     out: dict[int, str] = {}
-    for code in range(sys.maxunicode + 1):
+    for code in CODE_POINTS:
         c = chr(code)
-        if 0xD800 <= code < 0xE000:
-            continue
         tag = unicodedata.decomposition(c).partition(" ")[0]
         if undrawn(c):
             out[code] = ""

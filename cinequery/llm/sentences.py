@@ -47,12 +47,13 @@ _UNDRAWN, _MN = re.compile(f"[{UNDRAWN}]"), re.compile(f"[{MARKS}]+")
 _SPACED = "฀-໿"
 _CLOSERS = "\"'”“»’)\\]}」』）】〉》"
 _WIDE = "。！？｡！？︒"
-_MARKED = rf"(?:\.(?!\d)|[!?…؟۔।॥]|[{_WIDE}])+(?:[   ]?[{_CLOSERS}](?![^\W_]))*"
+_MARKED = rf"[.!?…؟۔।॥{_WIDE}][.!?…؟۔।॥{_WIDE}]*(?:(?<=[^.])|(?!\d))(?:[   ]?[{_CLOSERS}](?![^\W_]))*"
 _SPACE = rf"(?<=[{_SPACED}\d])[^\S\n]*\n?[^\S\n]*(?<=\s)(?=\S)"
 _CANDIDATE, _CANDIDATE_SPACED = re.compile(_MARKED), re.compile(f"{_MARKED}|{_SPACE}")
 _HAS_SPACED = re.compile(f"[{_SPACED}]")
 _WORDS, _FIRST = re.compile(r"\w+"), re.compile(r"\W*(\w*)")
 _BREAK = re.compile(r"[\s“”„«»\"'()\[\]「」『』,;:!?…。！？]")
+_MARKS = frozenset(".!?…؟۔।॥" + _WIDE)
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 _OPEN, _CLOSE = "“„«「『‘‚‹《〈", "”“»」』’›》〉"
 _QUOTE = re.compile("[\"“”„«»「」『』《》]")
@@ -126,7 +127,7 @@ def places(text: str) -> list[Place]:
         lower = near == len(capitals) or capitals[near] > end + 60
         lower |= len(text) > end + 40 and (ahead == len(capitals) or capitals[ahead] > end + 90)
         group = m.group()
-        mark = next((c for c in reversed(group) if c in ".!?…؟۔।॥" or c in _WIDE), " ")
+        mark = group if group in _MARKS else next((c for c in reversed(group) if c in _MARKS), " ")
         if mark == "." and ".." in group:
             mark = "…"
         p.space = end < len(text) and (text[end].isspace() or mark == " ")
@@ -137,7 +138,9 @@ def places(text: str) -> list[Place]:
         if not p.space and mark in ".…" and (nxt.isdigit() or nxt in ",;:)-/_" or nxt.islower() and not lower):
             continue
         head = text[max(0, start - 24) : start].rstrip() if mark != " " else text[max(0, start - 24) : start]
-        word = _BREAK.split(head)[-1]
+        word = head.rsplit(None, 1)[-1] if head[-1:].strip() else ""
+        if not word.isalnum():
+            word = _BREAK.split(word)[-1]
         p.before = head
         p.token = _fold(word)[-14:]
         p.after = _fold(_FIRST.match(rest[:20]).group(1))[:14]
@@ -147,7 +150,7 @@ def places(text: str) -> list[Place]:
         while at_quote < len(quotes) and quotes[at_quote][1] < end:
             at_quote += 1
         p.inside = at_quote < len(quotes) and quotes[at_quote][0] < start and quotes[at_quote][1] >= end
-        close = next((i for i in range(end - 1, start - 1, -1) if i in closing), None) if mark != " " else None
+        close = next((i for i in range(end - 1, start - 1, -1) if i in closing), None) if closing and mark != " " else None
         p.lead = ""
         if close is not None:
             intro = text[last : closing[close]].strip()
