@@ -14,7 +14,7 @@ rows.
 
 Defined results: similarity is the cosine. Rows with a null key, or a vector that is null, zero, not
 finite or of another length than the first of the sample have no similarity and take no part. A key
-that comes more than once is one item (with the vector first by its bytes, if they differ).
+that comes more than once is one item (with the vector first by its bytes as packed, if they differ).
 Identical vectors are one node of the graph and come out as separate items; a vector with more
 copies than a shard has rows is indexed by its first k + 1 copies, which are all that can matter. Equal similarities are
 ordered by key. Fewer than k others: all that are found. Empty input: no rows.
@@ -68,6 +68,21 @@ def _unpack(raw: list[bytes], width: int) -> np.ndarray:
     return unit(np.ascontiguousarray(rows[:, 4:]).view(np.int16))
 
 
+def _packer(kind: str):
+    """Usable vectors of any length, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            for width in np.unique(lengths[lengths > 0]):
+                places, points = _matrix(batch.column(1), int(width))
+                if len(places):
+                    kept = batch.take(pa.array(places))
+                    yield pa.record_batch({"key": kept.column(0), "vector": _pack(points), "asks": kept.column(2)})
+
+    return run, f"key {kind}, vector binary, asks boolean"
+
+
 def fit_cells(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """Centres of ``cells`` cells, at unit length, by spherical k-means."""
     rng = np.random.default_rng(seed)
@@ -82,8 +97,9 @@ def fit_cells(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 7) ->
 
 
 def _assigner(sent, width: int, probes: int, margin: float):
-    def part(keys: pa.Array, points: np.ndarray, asks: np.ndarray, mix: np.ndarray) -> pa.RecordBatch:
+    def part(keys: pa.Array, raw: pa.Array, asks: np.ndarray, mix: np.ndarray) -> pa.RecordBatch:
         centres, first, salts, copied = sent.value
+        points = _unpack(raw.to_pylist(), width)
         depth = min(probes, len(centres))
         at = np.arange(len(points))
         close = points @ centres.T
@@ -91,7 +107,6 @@ def _assigner(sent, width: int, probes: int, margin: float):
         near = np.take_along_axis(near, np.argsort(-np.take_along_axis(close, near, 1), axis=1), 1)
         home = near[:, 0]
         salt = mix % salts[home]
-        raw = _pack(points)
         shard = first[home] + salt
         alone = np.zeros(len(points), bool)
         if copied:  # a vector with very many copies has a negative shard and asks nowhere
@@ -121,12 +136,10 @@ def _assigner(sent, width: int, probes: int, margin: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(128, CELL_BLOCK // len(sent.value[0]))
         for batch in batches:
-            places, points = _matrix(batch.column(1), width)
-            kept = batch.take(pa.array(places))
-            asks = kept.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            mix = kept.column(3).to_numpy()
-            for i in range(0, len(points), step):
-                yield part(kept.column(0).slice(i, step), points[i : i + step], asks[i : i + step], mix[i : i + step])
+            asks = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            mix = batch.column(3).to_numpy()
+            for i in range(0, batch.num_rows, step):
+                yield part(batch.column(0).slice(i, step), batch.column(1).slice(i, step), asks[i : i + step], mix[i : i + step])
 
     return run
 
@@ -246,32 +259,37 @@ def similar_vectors(
     usable = rows.select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("vector"), (F.lit(True) if asks is None else F.coalesce(asks, F.lit(False))).alias("asks")).where(
         "key is not null and vector is not null"
     )
-    usable = usable.withColumn("mix", F.pmod(F.xxhash64("key"), F.lit(1_000_000)).cast("int"))
-    total = usable.count()
+    mix = F.pmod(F.xxhash64("key"), F.lit(1_000_000)).cast("int")
+    total = usable.select("key").distinct().count()
     output = f"key_a {kind}, key_b {kind}, similarity double"
     share = min(1_000_000, math.ceil(1_000_000 * SAMPLE / max(total, 1)))
-    taken = usable.where(F.col("mix") < share).select("vector").limit(SAMPLE).toArrow() if total else None
-    widths = pc.drop_null(pc.list_value_length(taken["vector"])).to_numpy() if taken is not None else np.array([])
-    widths = widths[widths > 0]
-    if not len(widths):
-        return spark.createDataFrame([], output)
-    width = int(np.bincount(widths).argmax())
-    _, sample = _matrix(taken["vector"], width)
-    if not len(sample):
+    # A key that comes again and again is one row before anything is sampled, counted or sent to a shard.
+    pack, packed_kind = _packer(kind)
+    merged = [F.min("vector").alias("vector"), F.max("asks").alias("asks")]
+    drawn = usable.where(mix < share).mapInArrow(pack, packed_kind).groupBy("key", F.length("vector").alias("n")).agg(*merged)
+    taken = drawn.select("n", "vector").limit(SAMPLE).toArrow() if total else None
+    if taken is None or not taken.num_rows:
         return spark.createDataFrame([], output)
+    lengths = taken["n"].to_numpy()
+    length = int(np.bincount(lengths).argmax())
+    width = (length - 4) // 2
+    drawn_packed = taken["vector"].filter(pa.array(lengths == length)).to_pylist()
+    sample = _unpack(drawn_packed, width)
+    items = usable.mapInArrow(pack, packed_kind).where(F.length("vector") == length).groupBy("key").agg(*merged)
     shard = shard_rows or max(LEAST_SHARD, int(4 * math.sqrt(total)))
     cells = max(1, min(MAX_CELLS, total // shard, len(sample)))
     centres = fit_cells(sample, cells)
     held = np.bincount((sample @ centres.T).argmax(1), minlength=cells) * (total / len(sample))
     salts = np.maximum(1, np.ceil(held / (2 * max(shard, total // cells)))).astype(np.int64)
     first = np.cumsum(salts) - salts
-    # Vectors of which there must be more copies than a shard has rows, by the sample.
-    packed, times = np.unique(np.array(_pack(sample).to_pylist(), object), return_counts=True)
-    copied = {v: i for i, v in enumerate(packed[(times >= 3) & (times * (total / len(sample)) > shard)])}
+    # Vectors of which there must be more copies than a shard has rows, by the sample. Each of its copies has a key
+    # of its own, so with more than k of them there are k others for all.
+    packed, times = np.unique(np.array(drawn_packed, object), return_counts=True)
+    copied = {v: i for i, v in enumerate(packed[(times >= max(3, k + 1)) & (times * (total / len(sample)) > shard)])}
     sent = spark.sparkContext.broadcast((centres, first, salts, copied))
 
     kinds = f"shard int, own boolean, asks boolean, key {kind}, vector binary"
-    spread = usable.mapInArrow(_assigner(sent, width, probes, margin), kinds)
+    spread = items.select("key", "vector", "asks", mix.alias("mix")).mapInArrow(_assigner(sent, width, probes, margin), kinds)
     same = None
     if copied:
         # Whoever has k copies has these, first by key, as its k most similar; and for all others only the
@@ -289,7 +307,5 @@ def similar_vectors(
     if same is not None:
         found = found.unionByName(same.where(F.col("similarity") >= least))
     best = Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b")
-    # A key has one home, so no pair comes twice, unless a key has several vectors.
-    return (
-        found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).select(F.col("a").alias("key_a"), F.col("b").alias("key_b"), "similarity")
-    )
+    # A key is one row with one home, so no pair comes twice.
+    return found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).select(F.col("a").alias("key_a"), F.col("b").alias("key_b"), "similarity")

@@ -139,6 +139,29 @@ def test_very_many_copies_of_a_vector(spark):
     assert len(got["d0004"]) == 3 and all(b[0] in "cd" for b in got["d0004"])
 
 
+def test_a_key_that_comes_very_often_has_neighbours(spark):
+    rng = np.random.default_rng(13)
+    rows = [(f"x{i:04d}", rng.normal(size=4).tolist()) for i in range(300)] + [("hot", [0.5, 1.0, -1.0, 2.0])] * 200
+    rows += [(f"n{i}", [0.5, 1.0, -1.0, 2.0 + 0.001 * (i + 1)]) for i in range(4)]
+    # As many keys with one vector as neighbours are asked for: too few to stand for each other.
+    rows += [(f"t{i}", [-2.0, 1.0, 0.3, 0.1]) for i in range(3)] * 70 + [("u", [-2.0, 1.0, 0.3, 0.1001])]
+    df = spark.createDataFrame(rows, "id string, v array<float>")
+    got = defaultdict(set)
+    for r in vectors.similar_vectors(df, "id", "v", 3, least=0.99, shard_rows=60, probes=8, margin=1.0, beam=24).collect():
+        got[r.key_a].add(r.key_b)
+    assert got["hot"] == {"n0", "n1", "n2"}
+    assert all(got[f"t{i}"] == {"t0", "t1", "t2", "u"} - {f"t{i}"} for i in range(3))
+
+
+def test_a_key_with_different_vectors_is_one_item(spark):
+    rng = np.random.default_rng(17)
+    rows = [(f"x{i:04d}", rng.normal(size=4).tolist()) for i in range(300)]
+    rows += [("two", [1.0, 0.0, 0.0, 0.0]), ("two", [0.0, 1.0, 0.0, 0.0]), ("a", [1.0, 0.01, 0.0, 0.0]), ("b", [0.01, 1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id string, v array<float>")
+    found = vectors.similar_vectors(df, "id", "v", 300, shard_rows=60, probes=50, margin=2.0, beam=64).where("key_a = 'two' and key_b in ('a', 'b')")
+    assert sum(r.similarity > 0.99 for r in found.collect()) == 1
+
+
 # -- problem 4
 
 
