@@ -14,7 +14,7 @@ rows.
 
 Defined results: similarity is the cosine. Rows with a null key, or a vector that is null, zero, not
 finite or of another length than the first of the sample have no similarity and take no part. A key
-that comes more than once is one item (with the vector first by its bytes as packed, if they differ).
+that comes more than once is one item (with the vector first by its bytes as packed, if they differ), and asks if any of its rows does.
 Identical vectors are one node of the graph and come out as separate items; a vector with more
 copies than a shard has rows is indexed by its first k + 1 copies, which are all that can matter. Equal similarities are
 ordered by key. Fewer than k others: all that are found. Empty input: no rows.
@@ -177,12 +177,9 @@ def _searcher(width: int, k: int, least: float, degree: int, build_beam: int, be
         return order, np.cumsum(count) - count, count
 
     def run(t: pa.Table) -> pa.Table:
-        # One row a key: its own one before one sent here to ask.
-        t = t.sort_by([("key", "ascending"), ("own", "descending"), ("vector", "ascending")])
+        # A key is here once: at home, or sent to ask.
+        t = t.sort_by("key")
         keys = t["key"].combine_chunks()
-        fresh = np.ones(len(keys), bool)
-        fresh[1:] = ~pc.equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False).astype(bool)
-        t, keys = t.filter(pa.array(fresh)), keys.filter(pa.array(fresh))
         points = _unpack(t["vector"].to_pylist(), width)
         own, asks = (t[c].to_numpy().astype(bool) for c in ("own", "asks"))
         rank = np.arange(len(keys))  # rows are sorted by key

@@ -162,6 +162,19 @@ def test_a_key_with_different_vectors_is_one_item(spark):
     assert sum(r.similarity > 0.99 for r in found.collect()) == 1
 
 
+def test_a_key_asks_if_any_of_its_rows_does(spark):
+    rng = np.random.default_rng(19)
+    vector = [rng.normal(size=4).tolist() for _ in range(200)]
+    rows = [(i + 1000 * (i % 100 == 0), f"k{i:04d}", v) for i, v in enumerate(vector)]
+    for order in ([(7, "k0005", vector[5]), (900, "k0005", vector[5])], [(900, "k0005", vector[5]), (7, "k0005", vector[5])]):
+        df = spark.createDataFrame([r for r in rows if r[1] != "k0005"] + order, "n long, id string, v array<float>").coalesce(1)
+        for shard in (5000, 40):
+            found = vectors.similar_vectors(df, "id", "v", 3, asks=F.col("n") % 100 == 0, shard_rows=shard, probes=8, margin=2.0, beam=64).collect()
+            got = {r.key_b for r in found if r.key_a == "k0005"}
+            s = unit(np.array(vector)) @ unit(np.array(vector))[5]
+            assert got == {f"k{i:04d}" for i in np.argsort(-s)[1:4]}
+
+
 # -- problem 4
 
 
