@@ -103,7 +103,8 @@ def _rejected(keyframes: DataFrame) -> DataFrame:
 
 def near_duplicates(keyframes: DataFrame, max_distance: int) -> DataFrame:
     """``group_no`` and ``indexed`` anew: kept keyframes in a row, each near the one before it, form a group
-    with its sharpest member indexed; groups are numbered through the video; rejected frames have none."""
+    with its sharpest member indexed; groups are numbered through the video; rejected frames have none.
+    A kept frame without a hash is near no other: a group of its own, and the next one starts a new group."""
     shot = Window.partitionBy("video_id", "shot_id").orderBy("frame_index")
     fresh = F.when(hamming(F.lag("dhash").over(shot), F.col("dhash")) <= max_distance, 0).otherwise(1)
     kept = keyframes.where("rejected is null").drop("group_no", "indexed").withColumn("_new", fresh).withColumn("_g", F.sum("_new").over(shot) - 1)

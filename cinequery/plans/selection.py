@@ -51,6 +51,11 @@ def near_dup(s: SparkSession, d: str) -> DataFrame:
     return preprocess.near_duplicates(rows, DISTANCE).select("keyframe_id", "group_no", "indexed")
 
 
+def near_dup_all(s: SparkSession, d: str) -> DataFrame:
+    """As near_dup, over all keyframes, also those without a hash."""
+    return preprocess.near_duplicates(views.keyframes(s, d), DISTANCE).select("keyframe_id", "group_no", "indexed")
+
+
 def each_alone(s: SparkSession, d: str) -> DataFrame:
     return preprocess.each_alone(views.keyframes(s, d)).select("keyframe_id", "group_no", "indexed")
 
@@ -61,6 +66,11 @@ def reselect(s: SparkSession, d: str) -> DataFrame:
     return preprocess.reselect(rows, QUALITY, DISTANCE).select("keyframe_id", "rejected", "group_no", "indexed")
 
 
+def reselect_all(s: SparkSession, d: str) -> DataFrame:
+    """As reselect, over all keyframes, also those without a hash."""
+    return preprocess.reselect(views.keyframes(s, d), QUALITY, DISTANCE).select("keyframe_id", "rejected", "group_no", "indexed")
+
+
 def _scenes(s: SparkSession, d: str) -> DataFrame:
     """Scenes with gaps: shots without their first and last frames, some not at all."""
     shots = table(s, d, "shots")
@@ -94,8 +104,10 @@ QUERIES: dict[str, Query] = {
     "kf_times": kf_times,
     "quality_gate": quality_gate,
     "near_dup": near_dup,
+    "near_dup_all": near_dup_all,
     "each_alone": each_alone,
     "reselect": reselect,
+    "reselect_all": reselect_all,
     "shot_cover": shot_cover,
     "shot_times": shot_times,
     "entropy": entropy,
@@ -111,8 +123,8 @@ _SLOTS = f"""slots as (
 )"""
 
 
-def _groups(gate: str) -> str:
-    return f"""with {sql_view('kf')}, judged as (select * exclude (rejected, group_no, indexed), {gate} as rejected from kf where dhash is not null),
+def _groups(gate: str, frames: str = "dhash is not null") -> str:
+    return f"""with {sql_view('kf')}, judged as (select * exclude (rejected, group_no, indexed), {gate} as rejected from kf where {frames}),
     kept as (select *, ('0x' || lpad(lower(dhash), 16, '0'))::ubigint as h from judged where rejected is null),
     flagged as (select *, case when bit_count(xor(h, lag(h) over (partition by video_id, shot_id order by frame_index))) <= {DISTANCE} then 0 else 1 end as fresh from kept),
     numbered as (select *, sum(fresh) over (partition by video_id order by shot_id, frame_index) - 1 as g from flagged),
@@ -136,9 +148,11 @@ SQL: dict[str, str] = {
             case when pts is null then 'fps' else 'pts' end as time_source from parts""",
     "quality_gate": f"with {sql_view('kf')} select keyframe_id, {_GATE} as reason from kf",
     "near_dup": f"select keyframe_id, group_no, indexed from ({_groups('rejected')})",
+    "near_dup_all": f"select keyframe_id, group_no, indexed from ({_groups('rejected', 'true')})",
     "each_alone": f"""with {sql_view('kf')}, kept as (select keyframe_id, row_number() over (partition by video_id order by shot_id, frame_index) - 1 as g from kf where rejected is null)
         select keyframe_id, g as group_no, g is not null as indexed from kf left join kept using (keyframe_id)""",
     "reselect": _groups(_GATE),
+    "reselect_all": _groups(_GATE, "true"),
     "shot_cover": """with scenes as (select video_id, start_frame + 3 as s, end_frame - 2 as e from shots where shot_id % 5 <> 3), n as (select video_id, max(end_frame) + 10 as frames from shots group by video_id),
         clipped as (select video_id, frames, greatest(s, 0) as s, least(e, frames - 1) as e from scenes join n using (video_id) where s <= e and s < frames and e >= 0),
         cuts as (select *, row_number() over w as k, lead(s) over w as next_s, lag(e) over w as last_e from clipped window w as (partition by video_id order by s, e))

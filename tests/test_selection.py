@@ -5,6 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from cinequery.operators import incremental, preprocess, submission
+from cinequery.plans import selection
 from cinequery.plans.build import Selection, select_keyframes
 
 
@@ -125,3 +126,15 @@ def test_answers(spark):
     assert [r["rank"] for r in submission.violations(chains, "trake").orderBy("rank").collect()] == [2, 3]
     log = spark.createDataFrame([("e", "t", "a", "SENDING", 1), ("e", "t", "a", "WRONG", 2), ("e", "t", "b", "SENDING", 3), ("e", "t", "b", "ERROR 503", 4)], "evaluation string, task string, answer string, verdict string, line_no bigint")
     assert {r.answer: (r.verdict, r.sent) for r in submission.states(log).collect()} == {"a": ("WRONG", True), "b": ("ERROR 503", False)}
+
+
+def test_keyframes_without_a_hash_are_selected_too(spark, tmp_path):
+    kinds = "video_id string, keyframe_id string, shot_id long, frame_index long, time_ms long, pts long, time_base string, time_source string, image string, sharpness double, brightness double, entropy double, dhash string, rejected string, group_no long, indexed boolean"
+    row = lambda i, dhash, sharpness=100.0: ("v", f"k{i}", 0, i, 40 * i, None, None, "fps", "", sharpness, 100.0, 5.0, dhash, None, None, None)
+    rows = [row(0, "0"), row(1, "1", 200.0), row(2, None), row(3, "1"), row(4, "3"), row(5, None), row(6, None), row(7, None, 1.0)]
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/keyframes.parquet")
+    want = {"k0": (0, False), "k1": (0, True), "k2": (1, True), "k3": (2, True), "k4": (2, False), "k5": (3, True), "k6": (4, True)}
+    judged = {r.keyframe_id: (r.rejected, r.group_no, r.indexed) for r in selection.reselect_all(spark, str(tmp_path)).collect()}
+    assert judged == {k: (None, *v) for k, v in want.items()} | {"k7": ("blur", None, False)}
+    grouped = {r.keyframe_id: (r.group_no, r.indexed) for r in selection.near_dup_all(spark, str(tmp_path)).collect()}
+    assert grouped == want | {"k7": (5, True)}
