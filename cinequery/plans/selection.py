@@ -71,17 +71,26 @@ def reselect_all(s: SparkSession, d: str) -> DataFrame:
     return preprocess.reselect(views.keyframes(s, d), QUALITY, DISTANCE).select("keyframe_id", "rejected", "group_no", "indexed")
 
 
-def _scenes(s: SparkSession, d: str) -> DataFrame:
-    """Scenes with gaps: shots without their first and last frames, some not at all."""
+def _scenes(s: SparkSession, d: str, left_out: int | None = 3) -> DataFrame:
+    """Scenes with gaps: shots without their first and last frames; of every five, ``left_out`` not at all."""
     shots = table(s, d, "shots")
     frames = shots.groupBy("video_id").agg((F.max("end_frame") + 10).alias("frames"))
-    cut = shots.where(F.col("shot_id") % 5 != 3).select("video_id", (F.col("start_frame") + 3).alias("start"), (F.col("end_frame") - 2).alias("end"))
+    kept = shots if left_out is None else shots.where(F.col("shot_id") % 5 != left_out)
+    cut = kept.select("video_id", (F.col("start_frame") + 3).alias("start"), (F.col("end_frame") - 2).alias("end"))
     return frames.join(cut, "video_id", "left")
 
 
+def _tiled(scenes: DataFrame) -> DataFrame:
+    return preprocess.cover(scenes, "video_id", "frames").select("video_id", F.col("shot_id").cast("long"), "start_frame", "end_frame")
+
+
 def shot_cover(s: SparkSession, d: str) -> DataFrame:
-    tiled = preprocess.cover(_scenes(s, d), "video_id", "frames")
-    return tiled.select("video_id", F.col("shot_id").cast("long"), "start_frame", "end_frame")
+    return _tiled(_scenes(s, d))
+
+
+def shot_cover_all(s: SparkSession, d: str) -> DataFrame:
+    """As shot_cover, over all shots."""
+    return _tiled(_scenes(s, d, None))
 
 
 def shot_times(s: SparkSession, d: str) -> DataFrame:
@@ -109,6 +118,7 @@ QUERIES: dict[str, Query] = {
     "reselect": reselect,
     "reselect_all": reselect_all,
     "shot_cover": shot_cover,
+    "shot_cover_all": shot_cover_all,
     "shot_times": shot_times,
     "entropy": entropy,
 }
@@ -132,6 +142,14 @@ def _groups(gate: str, frames: str = "dhash is not null") -> str:
     select j.keyframe_id, j.rejected, c.g::bigint as group_no, coalesce(c.best, false) as indexed from judged j left join chosen c using (keyframe_id)"""
 
 
+def _cover_sql(shots: str) -> str:
+    return f"""with scenes as (select video_id, start_frame + 3 as s, end_frame - 2 as e from {shots}), n as (select video_id, max(end_frame) + 10 as frames from shots group by video_id),
+        clipped as (select video_id, frames, greatest(s, 0) as s, least(e, frames - 1) as e from scenes join n using (video_id) where s <= e and s < frames and e >= 0),
+        cuts as (select *, row_number() over w as k, lead(s) over w as next_s, lag(e) over w as last_e from clipped window w as (partition by video_id order by s, e))
+        select video_id, k - 1 as shot_id, case when k = 1 then 0 else (last_e + s) // 2 + 1 end as start_frame, coalesce((e + next_s) // 2, frames - 1) as end_frame from cuts
+        union all select video_id, 0, 0, frames - 1 from n anti join clipped using (video_id)"""
+
+
 SQL: dict[str, str] = {
     "kf_indexed": "select distinct video_id, keyframe_id, frame_index, time_ms from keyframes where indexed",
     "kf_middle": "select video_id, shot_id, (start_frame + end_frame) // 2 as frame_index, printf('%s_%06d', video_id, (start_frame + end_frame) // 2) as keyframe_id from shots",
@@ -153,11 +171,8 @@ SQL: dict[str, str] = {
         select keyframe_id, g as group_no, g is not null as indexed from kf left join kept using (keyframe_id)""",
     "reselect": _groups(_GATE),
     "reselect_all": _groups(_GATE, "true"),
-    "shot_cover": """with scenes as (select video_id, start_frame + 3 as s, end_frame - 2 as e from shots where shot_id % 5 <> 3), n as (select video_id, max(end_frame) + 10 as frames from shots group by video_id),
-        clipped as (select video_id, frames, greatest(s, 0) as s, least(e, frames - 1) as e from scenes join n using (video_id) where s <= e and s < frames and e >= 0),
-        cuts as (select *, row_number() over w as k, lead(s) over w as next_s, lag(e) over w as last_e from clipped window w as (partition by video_id order by s, e))
-        select video_id, k - 1 as shot_id, case when k = 1 then 0 else (last_e + s) // 2 + 1 end as start_frame, coalesce((e + next_s) // 2, frames - 1) as end_frame from cuts
-        union all select video_id, 0, 0, frames - 1 from n anti join clipped using (video_id)""",
+    "shot_cover": _cover_sql("shots where shot_id % 5 <> 3"),
+    "shot_cover_all": _cover_sql("shots"),
     "shot_times": """select video_id, shot_id, start_frame, end_frame, start_frame * 40 as start_ms,
         coalesce(lead(start_frame * 40) over (partition by video_id order by shot_id), end_frame * 40 + 40) as end_ms from shots""",
     "entropy": f"""with {sql_view('kf')}, bins as (select video_id, floor(brightness / 16) as bin, count(*) as n from kf group by all)
