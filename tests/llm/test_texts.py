@@ -1,5 +1,6 @@
 import os
 import random
+import re
 import unicodedata
 
 import pytest
@@ -133,13 +134,30 @@ def test_leaks(spark):
 def test_leaks_equal_all_stretches_compared():
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(6)]
-    items = [(i, " ".join(rng.choices(vocabulary, k=20))) for i in range(15)]
-    automaton = leaks.build(items, 4)
-    for _ in range(200):
-        text = rng.choice([" ", ", ", "\n"]).join(rng.choices(vocabulary, k=rng.randint(0, 30)))
-        said = text.replace(",", "").split()
-        want = {p for p, (_, t) in enumerate(items) for i in range(17) if any(said[j : j + 4] == t.split()[i : i + 4] for j in range(len(said)))}
-        assert {p for p, _, _ in leaks.scan(text, automaton)} == want
+    for least in (1, 2, 3, 4, 5, 12):
+        items = [(i, " ".join(rng.choices(vocabulary[: rng.randint(1, 6)], k=20))) for i in range(15)]
+        search = leaks.Search(items, least)
+        for _ in range(120):
+            text = rng.choice([" ", ", ", "\n"]).join(rng.choices(vocabulary[: rng.randint(1, 6)], k=rng.randint(0, 30)))
+            said = text.replace(",", "").split()
+            want = set()
+            for p, (_, t) in enumerate(items):
+                held = {tuple(t.split()[i : i + least]) for i in range(21 - least)}
+                inside = {k for j in range(len(said) - least + 1) if tuple(said[j : j + least]) in held for k in range(j, j + least)}
+                want |= {(p, k) for k in inside}
+            starts = [m.start() for m in re.finditer(r"\w+", text)]
+            assert {(p, k) for p, a, b in search.scan(text) for k, at in enumerate(starts) if a <= at < b} == want
+
+
+def test_leaks_in_shards_are_the_same(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(40)]
+    held = [(i, " ".join(rng.choices(vocabulary, k=30))) for i in range(25)]
+    texts = [(i, " ".join([*rng.choices(vocabulary, k=20), *held[i % 25][1].split()[3:17], *rng.choices(vocabulary, k=20)])) for i in range(60)]
+    texts += [(100, held[7][1] + " x"), (100, held[7][1] + " x"), (101, None), (102, " ".join(["w1"] * 5000))]
+    df, items = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([*held, held[3], (99, None), (98, "w1 " * 300)], "item_id long, text string")
+    one, many = (sorted(map(tuple, leaks.find_leaks(df, items, "doc_id", "text", "item_id", "text", 12, most).collect())) for most in (10**6, 200))
+    assert one == many and (102, 98, 0, 14999) in one and one.count((100, 7, 0, len(held[7][1]))) == 2
 
 
 # -- problem 8
