@@ -16,18 +16,20 @@ from pyspark.sql.window import Window
 
 #: Tasks whose edge rows one step of the prefix scan takes.
 BLOCK = 256
+#: Rows that a task of a scan holds at once, on average.
+TASK_ROWS = 500_000
 
 
-def ordered_scan(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str], scan: Callable[[int, pa.Table], Iterator[pa.RecordBatch]], schema: str, partitions: int | None = None
-) -> DataFrame:
-    """Apply ``scan(task, table)`` to each task's rows, range-partitioned by ``keys`` and sorted by ``order``.
+def ordered_scan(rows: DataFrame, order: Sequence[str], scan: Callable[[int, pa.Table], Iterator[pa.RecordBatch]], schema: str, partitions: int | None = None) -> DataFrame:
+    """Apply ``scan(task, table)`` to each task's rows, range-partitioned and sorted by ``order``.
 
-    Rows equal in ``keys`` share a task, tasks follow one another in the order of ``keys``, also
-    where adaptive execution joins neighbouring ones.
+    Only rows equal in all of ``order`` must share a task. The rows are counted first, so that there are tasks
+    enough for each to hold ``TASK_ROWS``, whatever the session's setting. Tasks follow one another in
+    the order of the rows, also where adaptive execution joins neighbouring ones.
     """
     columns = rows.columns
-    ranged = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
+    if partitions is None:
+        partitions = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -39,15 +41,15 @@ def ordered_scan(
             assert table.column_names == columns
             yield from scan(TaskContext.get().partitionId(), table)
 
-    return ranged.sortWithinPartitions(*order).mapInArrow(run, schema)
+    return rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def last_before(edges: DataFrame, task: str, value: str, descending: bool = False) -> DataFrame:
     """(task, carried): for each row the last non-null ``value`` of the tasks before it (after it, if ``descending``).
 
     A parallel prefix scan in two steps: blocks of tasks are scanned side by side, the blocks'
-    totals (one row a block) are scanned, and each task takes its own block's value or else the
-    total of the blocks before.
+    totals (one row for ``BLOCK * TASK_ROWS`` rows of the table, so few) are scanned in one task, and
+    each task takes its own block's value or else the total of the blocks before.
     """
     position = -F.col(task) if descending else F.col(task)
     edges = edges.select(task, value, position.alias("_at")).withColumn("_block", F.floor(F.col("_at") / BLOCK))

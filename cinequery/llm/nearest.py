@@ -3,7 +3,7 @@
 Left and right records are united, range-partitioned globally by (entity, time) and scanned in
 place: forward for the last right record, backward for the next. What a task cannot know, the right
 records just beyond its edges, comes from a parallel prefix scan over the tasks' edge records. An
-entity may span any number of tasks; no task holds more than its range.
+entity, and even one of its moments, may span any number of tasks; no task holds more than its range.
 
 Defined results: a left record with a null entity or time has no match; right records with a null
 entity, time or id are left out. Of two equally near, the earlier; of several at one time, the
@@ -115,8 +115,12 @@ def nearest_in_time(
         left.select(F.col(entity).cast("string").alias("entity"), F.col(left_at).cast("long").alias("at"), F.lit(True).alias("is_left"), key.alias("id")),
         right.select(F.col(entity).cast("string").alias("entity"), F.col(right_at).cast("long").alias("at"), F.lit(False).alias("is_left"), F.col(right_id).cast("string").alias("id")),
     ]
-    both = sides[0].unionByName(sides[1]).where("entity is not null and at is not null and id is not null")
-    scanned = materialize(ordered_scan(both, ["entity", "at"], ["entity", "at", "is_left", "id"], _scanner(tolerance), _SCANNED, partitions), "nearest")
+    known = "entity is not null and at is not null and id is not null"
+    # Of the right records of one moment only the smallest id can be a match, so a moment is one row, however many it had.
+    moments = sides[1].where(known).groupBy("entity", "at", "is_left").agg(F.min("id").alias("id"))
+    both = sides[0].where(known).unionByName(moments)
+    # By all columns: the left records of one moment may lie in several tasks, and only copies must meet.
+    scanned = materialize(ordered_scan(both, ["entity", "at", "is_left", "id"], _scanner(tolerance), _SCANNED, partitions), "nearest")
 
     done = scanned.where("role = 'done'").select("key", "entity", "at", "right_id", "gap")
     # One or two edge rows a task: small by construction, whatever the data.
@@ -125,7 +129,7 @@ def nearest_in_time(
     )
     before = last_before(edges, "task", "last").withColumnRenamed("carried", "b")
     after = last_before(edges, "task", "first", descending=True).withColumnRenamed("carried", "a")
-    carried = F.broadcast(before.join(after, "task"))
+    carried = before.join(after, "task")  # a row a task; Spark picks the join by its size
     asked = scanned.where("role = 'open'").join(carried, "task")
     gap_b = F.when(F.col("open_before") & (F.col("b.entity") == F.col("entity")), F.col("at") - F.col("b.at"))
     gap_a = F.when(F.col("open_after") & (F.col("a.entity") == F.col("entity")), F.col("a.at") - F.col("at"))
