@@ -19,6 +19,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("key_a").alias("line_id_a"), F.col("key_b").alias("line_id_b"))
 
 
+def p1_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line with the one form of all that look like it."""
+    return lookalike.canonical_form(table(spark, folder, "shot_lines").select("line_id", "text"), "text").select("line_id", "canonical").distinct()
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     times = F.explode(F.array(*(F.struct(F.lit(e).alias("edge"), F.col(f"{e}_ms").alias("at")) for e in ("start", "end"))))
     edges = table(spark, folder, "asr").select("segment_id", "video_id", times.alias("_e")).select("segment_id", "video_id", "_e.edge", "_e.at")
