@@ -4,17 +4,20 @@ A coarse quantiser (spherical k-means on a bounded sample, see ``SAMPLE``) gives
 neighbouring directions. Every vector is indexed in the shard of its nearest cell and asks that
 shard and those of the next cells that lie close across the boundary. In each shard, one task builds
 a robust-pruned directed graph over the shard's vectors and answers all queries sent to it by beam
-search. A cell that the sample shows to be crowded is split into several shards by a hash, and asked
-in all of them, so no task gets more than about twice ``shard_rows``. Finally the answers of a
-vector's shards, k rows each, are merged.
+search. A cell that the sample shows to be larger than ``2 * shard_rows`` is split into several shards by a hash,
+and asked in all of them: that is the second level past ``MAX_CELLS`` cells, too. Finally the answers of a
+vector's shards, k rows each, are merged. Candidates come from the graphs; their similarities are worked
+out from the stored numbers, in double precision.
 
-Work grows as rows times log(shard), the quantiser as rows times cells, with cells and shard both
-about the square root of the rows. What is broadcast is the table of cells: at most ``MAX_CELLS``
-rows.
+A task holds one shard: about ``shard_rows`` indexed vectors, which grow with the square root of the rows up to
+``SHARD_BYTES``, and the queries that cells around send. There are as many tasks as shards, so no task grows
+faster than that. Work grows as rows times log(shard), the quantiser as rows times cells, with cells and shard both
+about the square root of the rows. More cells mean more boundaries, so the cells that a vector asks grow with the
+logarithm of their number. What is broadcast is the table of cells: at most ``MAX_CELLS`` rows.
 
 Defined results: similarity is the cosine. Rows with a null key, or a vector that is null, zero, not
 finite or of another length than the first of the sample have no similarity and take no part. A key
-that comes more than once is one item (with the vector first by its bytes as packed, if they differ), and asks if any of its rows does.
+that comes more than once is one item (with the vector first by its bytes, if they differ), and asks if any of its rows does.
 Identical vectors are one node of the graph and come out as separate items; a vector with more
 copies than a shard has rows is indexed by its first k + 1 copies, which are all that can matter. Equal similarities are
 ordered by key. Fewer than k others: all that are found. Empty input: no rows.
@@ -39,33 +42,44 @@ from cinequery.sources.tables import materialize
 SAMPLE = 20_000
 MAX_CELLS = 8_192
 LEAST_SHARD = 2_000
+#: Bytes of the vectors that a shard indexes, at most, on average.
+SHARD_BYTES = 128 << 20
+#: Candidates beyond the k wanted (one of them the vector itself) whose similarities are worked out exactly.
+SPARE = 4
+#: Tasks that search shards; with more shards, tasks take several, one after the other.
+MAX_TASKS = 20_000
 #: Similarities to cells that a task works out at once.
 CELL_BLOCK = 4_000_000
 
 
-def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the usable vectors, and these at unit length."""
+def _usable(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors of one length that have a direction, and these as they are stored."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     right = pc.fill_null(pc.equal(pc.list_value_length(column), width), False)
     places = np.flatnonzero(right.to_numpy(zero_copy_only=False))
-    values = pc.list_flatten(column.take(pa.array(places))).to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
+    values = pc.list_flatten(column.take(pa.array(places))).to_numpy(zero_copy_only=False).reshape(-1, width)
     with np.errstate(invalid="ignore", over="ignore"):
-        norm = np.linalg.norm(values, axis=1)
+        norm = np.einsum("ij,ij->i", values, values, dtype=np.float64)
     fine = np.isfinite(norm) & (norm > 0)
-    return places[fine], (values[fine] / norm[fine, None]).astype(np.float32)
+    return places[fine], values[fine]
 
 
 def _pack(points: np.ndarray) -> pa.Array:
-    """Each vector as a scale and 16-bit integers: half the bytes to shuffle, and similarities right to about 0.00001."""
-    scale = np.abs(points).max(1, keepdims=True).astype(np.float32)
-    steps = np.rint(points / scale * 32767).astype(np.int16)
-    rows = np.concatenate([scale.view(np.uint8), np.ascontiguousarray(steps).view(np.uint8)], axis=1)
-    return pa.Array.from_buffers(pa.binary(rows.shape[1]), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
+    """Vectors of one length as bytes."""
+    rows = np.ascontiguousarray(points, np.float32)
+    return pa.Array.from_buffers(pa.binary(rows.shape[1] * 4), len(rows), [None, pa.py_buffer(rows)]).cast(pa.binary())
 
 
-def _unpack(raw: list[bytes], width: int) -> np.ndarray:
-    rows = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 4 + 2 * width)
-    return unit(np.ascontiguousarray(rows[:, 4:]).view(np.int16))
+def _unpack(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """The stored numbers of packed vectors of one length, without a copy of each."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.empty((0, width), np.float32)
+    column = column.cast(pa.large_binary()) if pa.types.is_large_binary(column.type) else column.cast(pa.binary())
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    first = int(np.frombuffer(offsets, kind)[column.offset])
+    return np.frombuffer(data, np.uint8)[first : first + len(column) * width * 4].view(np.float32).reshape(-1, width)
 
 
 def _packer(kind: str):
@@ -75,7 +89,7 @@ def _packer(kind: str):
         for batch in batches:
             lengths = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
             for width in np.unique(lengths[lengths > 0]):
-                places, points = _matrix(batch.column(1), int(width))
+                places, points = _usable(batch.column(1), int(width))
                 if len(places):
                     kept = batch.take(pa.array(places))
                     yield pa.record_batch({"key": kept.column(0), "vector": _pack(points), "asks": kept.column(2)})
@@ -99,7 +113,7 @@ def fit_cells(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 7) ->
 def _assigner(sent, width: int, probes: int, margin: float):
     def part(keys: pa.Array, raw: pa.Array, asks: np.ndarray, mix: np.ndarray) -> pa.RecordBatch:
         centres, first, salts, copied = sent.value
-        points = _unpack(raw.to_pylist(), width)
+        points = unit(_unpack(raw, width))
         depth = min(probes, len(centres))
         at = np.arange(len(points))
         close = points @ centres.T
@@ -150,7 +164,7 @@ def _reindexer(sent, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, first, salts, _ = sent.value
         for batch in batches:
-            home = (_unpack(batch.column(1).to_pylist(), width) @ centres.T).argmax(1) if batch.num_rows else np.array([], int)
+            home = (unit(_unpack(batch.column(1), width)) @ centres.T).argmax(1) if batch.num_rows else np.array([], int)
             n = batch.num_rows
             yield pa.record_batch(
                 {
@@ -180,12 +194,14 @@ def _searcher(width: int, k: int, least: float, degree: int, build_beam: int, be
         # A key is here once: at home, or sent to ask.
         t = t.sort_by("key")
         keys = t["key"].combine_chunks()
-        points = _unpack(t["vector"].to_pylist(), width)
+        stored = _unpack(t["vector"], width)
+        points = unit(stored)
+        norm = np.sqrt(np.einsum("ij,ij->i", stored, stored, dtype=np.float64))
         own, asks = (t[c].to_numpy().astype(bool) for c in ("own", "asks"))
         rank = np.arange(len(keys))  # rows are sorted by key
         # Identical vectors are one node. Of its members, only the first k + 1 can be among anyone's k best.
         mine = np.flatnonzero(own)
-        raw = np.ascontiguousarray(points).view(f"V{width * 4}").ravel()
+        raw = np.ascontiguousarray(stored).view(f"V{width * 4}").ravel()
         _, first_of, group = np.unique(raw, return_index=True, return_inverse=True)
         indexed = np.unique(group[mine])
         node_of = np.full(len(first_of), -1)
@@ -203,11 +219,12 @@ def _searcher(width: int, k: int, least: float, degree: int, build_beam: int, be
         for where, starts in ((at_home, node_of[who]), (~at_home, None)):
             q = np.flatnonzero(where)
             if len(q):
-                node, near = graph.search(points[first_of[who[q]]], k + 1, beam, None if starts is None else starts[q])
+                node, near = graph.search(points[first_of[who[q]]], k + SPARE, beam, None if starts is None else starts[q])
                 i, j = np.nonzero((node >= 0) & (near >= least - 1e-4))
                 hits.append((q[i], node[i, j]))
         q, n = (np.concatenate(x) for x in zip(*hits))
-        exact = np.einsum("bd,bd->b", points[first_of[who[q]]].astype(np.float64), nodes[n].astype(np.float64))
+        x, y = first_of[who[q]], first_of[indexed[n]]
+        exact = np.einsum("bd,bd->b", stored[x], stored[y], dtype=np.float64) / (norm[x] * norm[y])
         q, n, exact = q[exact >= least], n[exact >= least], exact[exact >= least]
         # Queries' members times the nodes' first members.
         asking = np.flatnonzero(asks)
@@ -230,6 +247,27 @@ def _searcher(width: int, k: int, least: float, degree: int, build_beam: int, be
     return run
 
 
+def _by_shard(search):
+    """One shard after the other: its rows follow one another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            number = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and held[0].column(0)[0].as_py() != int(number[a]):
+                    yield from search(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from search(pa.Table.from_batches(held)).to_batches()
+
+    return run
+
+
 def similar_vectors(
     rows: DataFrame,
     key: str,
@@ -237,19 +275,19 @@ def similar_vectors(
     k: int,
     least: float = -1.0,
     asks: Column | None = None,
-    probes: int = 4,
-    margin: float = 0.07,
+    probes: int | None = None,
+    margin: float = 0.1,
     degree: int = 14,
     build_beam: int = 14,
-    beam: int = 20,
+    beam: int = 24,
     shard_rows: int | None = None,
 ) -> DataFrame:
     """(key_a, key_b, similarity): for each ``key_a`` that ``asks``, its ``k`` most similar others with at least ``least``.
 
     ``probes`` cells are asked at most, as far as the boundary to the vector's own cell lies within
-    ``margin``. ``degree``, ``build_beam`` and ``beam`` trade time for recall.
+    ``margin``; without a number, 4 and four fifths of the binary logarithm of the cells. ``degree``, ``build_beam`` and ``beam`` trade time for recall.
     """
-    if k < 1 or probes < 1 or degree < 1 or beam < 1:
+    if k < 1 or probes is not None and probes < 1 or degree < 1 or beam < 1:
         raise ValueError("k, probes, degree and beam must be at least 1")
     spark = rows.sparkSession
     kind = rows.schema[key].dataType.simpleString()
@@ -269,19 +307,20 @@ def similar_vectors(
         return spark.createDataFrame([], output)
     lengths = taken["n"].to_numpy()
     length = int(np.bincount(lengths).argmax())
-    width = (length - 4) // 2
-    drawn_packed = taken["vector"].filter(pa.array(lengths == length)).to_pylist()
-    sample = _unpack(drawn_packed, width)
+    width = length // 4
+    drawn_packed = taken["vector"].filter(pa.array(lengths == length))
+    sample = unit(_unpack(drawn_packed, width))
     items = usable.mapInArrow(pack, packed_kind).where(F.length("vector") == length).groupBy("key").agg(*merged)
-    shard = shard_rows or max(LEAST_SHARD, int(4 * math.sqrt(total)))
+    shard = shard_rows or min(max(LEAST_SHARD, int(4 * math.sqrt(total))), max(1, SHARD_BYTES // length))
     cells = max(1, min(MAX_CELLS, total // shard, len(sample)))
     centres = fit_cells(sample, cells)
+    probes = probes or 4 + round(0.8 * math.log2(cells))
     held = np.bincount((sample @ centres.T).argmax(1), minlength=cells) * (total / len(sample))
-    salts = np.maximum(1, np.ceil(held / (2 * max(shard, total // cells)))).astype(np.int64)
+    salts = np.maximum(1, np.ceil(held / (2 * shard))).astype(np.int64)
     first = np.cumsum(salts) - salts
     # Vectors of which there must be more copies than a shard has rows, by the sample. Each of its copies has a key
     # of its own, so with more than k of them there are k others for all.
-    packed, times = np.unique(np.array(drawn_packed, object), return_counts=True)
+    packed, times = np.unique(np.array(drawn_packed.to_pylist(), object), return_counts=True)
     copied = {v: i for i, v in enumerate(packed[(times >= max(3, k + 1)) & (times * (total / len(sample)) > shard)])}
     sent = spark.sparkContext.broadcast((centres, first, salts, copied))
 
@@ -300,7 +339,11 @@ def similar_vectors(
         same = copies.where("asks").join(F.broadcast(listed), "shard").select(F.col("key").alias("a"), F.explode(others).alias("b"), F.lit(1.0).alias("similarity"))
         alone = spark.sparkContext.broadcast((centres, first, salts, {}))
         spread = spread.where("shard >= 0").unionByName(heads.select("key", "vector").mapInArrow(_reindexer(alone, width), kinds))
-    found = spread.groupBy("shard").applyInArrow(_searcher(width, k, least, degree, build_beam, beam), f"a {kind}, b {kind}, similarity double")
+    shards = int(first[-1] + salts[-1])
+    tasks = min(shards, MAX_TASKS)
+    placed = spread.repartitionById(tasks, "shard")
+    placed = placed if shards <= tasks else placed.sortWithinPartitions("shard")
+    found = placed.mapInArrow(_by_shard(_searcher(width, k, least, degree, build_beam, beam)), f"a {kind}, b {kind}, similarity double")
     if same is not None:
         found = found.unionByName(same.where(F.col("similarity") >= least))
     best = Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b")
