@@ -1,12 +1,13 @@
 """Sentences of texts in any language (problem 8).
 
 A linear-chain model tags each character as inside or as the last of a sentence, and Viterbi decoding
-picks the best tagging of a paragraph. Only characters that can end a sentence get a choice (an end
-mark with what closes after it; a space in scripts that set no end marks); blank lines always end
-one, so paragraphs are independent chains.
+picks the best tagging of a paragraph. All characters that cannot end a sentence are inside, so they need no
+decision and no step of the chain; those that can are the end marks of all scripts (Unicode's
+Sentence_Terminal) with what closes after them, but for the point within a number, and a space in scripts
+that set no end marks. Blank lines always end a sentence, so paragraphs are independent chains.
 
 The model is trained here, by the averaged perceptron, on at most ``TRAINING_DOCUMENTS`` documents of
-the corpus itself. Their labels come from rules that are sure where case, quotation marks and known
+the corpus itself and on the few sentences of ``WRITTEN``. Their labels come from rules that are sure where case, quotation marks and known
 abbreviations show the structure. The model is also trained on copies without capitals, where these
 signs are gone, and, for scripts without end marks, on paragraphs joined by spaces with all
 punctuation stripped; so it learns from the words around a mark. Every document is then cut by it.
@@ -27,9 +28,10 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinequery.functions.characters import MARKS, UNDRAWN, ranges
@@ -47,13 +49,19 @@ _UNDRAWN, _MN = re.compile(f"[{UNDRAWN}]"), re.compile(f"[{MARKS}]+")
 _SPACED = "฀-໿"
 _CLOSERS = "\"'”“»’)\\]}」』）】〉》"
 _WIDE = "。！？｡！？︒"
-_MARKED = rf"[.!?…؟۔।॥{_WIDE}][.!?…؟۔।॥{_WIDE}]*(?:(?<=[^.])|(?!\d))(?:[   ]?[{_CLOSERS}](?![^\W_]))*"
+# The other marks of Unicode's Sentence_Terminal property in the first plane, without the Myanmar little section
+# and the presentation forms, which separate parts of sentences or are rare; and the Tibetan shads.
+_OWN = "։؝؞܀܁܂߹࠷࠹࠽࠾༎།။።፧፨᙮᜵᜶។៕᠃᠉᥄᥅᪨᪩᪪᪫᭚᭛᭞᭟᰻᰼᱾᱿‼‽⁇⁈⁉⳹⳺⳻⸮⸼꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫"
+_ENDS = f".!?…؟۔।॥{_WIDE}{_OWN}"
+_MARKED = rf"[{_ENDS}]+(?:(?<=[^.])|(?!\d)|(?<=[^\d.]\.))(?:[   ]?[{_CLOSERS}](?![^\W_]))*"
 _SPACE = rf"(?<=[{_SPACED}\d])[^\S\n]*\n?[^\S\n]*(?<=\s)(?=\S)"
 _CANDIDATE, _CANDIDATE_SPACED = re.compile(_MARKED), re.compile(f"{_MARKED}|{_SPACE}")
 _HAS_SPACED = re.compile(f"[{_SPACED}]")
 _WORDS, _FIRST = re.compile(r"\w+"), re.compile(r"\W*(\w*)")
 _BREAK = re.compile(r"[\s“”„«»\"'()\[\]「」『』,;:!?…。！？]")
-_MARKS = frozenset(".!?…؟۔।॥" + _WIDE)
+_MARKS = frozenset(_ENDS)
+#: Marks that are set at ends only; what is learned of one holds for all.
+_PLAIN = frozenset(_WIDE + _OWN)
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 _OPEN, _CLOSE = "“„«「『‘‚‹《〈", "”“»」』’›》〉"
 _QUOTE = re.compile("[\"“”„«»「」『』《》]")
@@ -85,14 +93,14 @@ def drawn(text: str) -> tuple[str, list[int] | None]:
     """The drawn characters, and where each stands; None if all are drawn."""
     if not _UNDRAWN.search(text):
         return text, None
-    at = [i for i, c in enumerate(text) if not _UNDRAWN.match(c)]
-    return "".join(text[i] for i in at), at
+    gone = {m.start() for m in _UNDRAWN.finditer(text)}
+    return _UNDRAWN.sub("", text), [i for i in range(len(text)) if i not in gone]
 
 
 class Place:
     """A place where a sentence may end, with what is known around it."""
 
-    __slots__ = ("start", "end", "mark", "closer", "before", "token", "after", "kind", "space", "inside", "lead", "words", "gap", "lower", "left", "right", "features")
+    __slots__ = ("start", "end", "mark", "closer", "token", "after", "kind", "space", "inside", "lead", "gap", "lower", "left", "right", "features")
 
 
 def places(text: str) -> list[Place]:
@@ -135,13 +143,12 @@ def places(text: str) -> list[Place]:
         if mark != " " and not rest:
             break  # the end of the paragraph needs no decision
         nxt = rest[0]
-        if not p.space and mark in ".…" and (nxt.isdigit() or nxt in ",;:)-/_" or nxt.islower() and not lower):
+        if not p.space and mark in ".…" and (nxt in ",;:)-/_" or nxt.islower() and not lower):
             continue
         head = text[max(0, start - 24) : start].rstrip() if mark != " " else text[max(0, start - 24) : start]
         word = head.rsplit(None, 1)[-1] if head[-1:].strip() else ""
         if not word.isalnum():
             word = _BREAK.split(word)[-1]
-        p.before = head
         p.token = _fold(word)[-14:]
         p.after = _fold(_FIRST.match(rest[:20]).group(1))[:14]
         p.kind = (
@@ -156,11 +163,12 @@ def places(text: str) -> list[Place]:
             intro = text[last : closing[close]].strip()
             p.lead = "^" if not re.search(r"\w", text[max(0, last) : closing[close]]) else ":" if intro[-1:] in ":：" else "," if intro[-1:] in ",，、" else "x"
         p.closer = "q" if close is not None else "b" if group[-1:] in ")]}）】" else ""
-        p.mark = "W" if mark in _WIDE else mark
+        p.mark = "W" if mark in _PLAIN else mark
         p.start, p.end, p.lower = start, end, lower
-        words += len(_WORDS.findall(text, counted, start))
-        counted, p.words = end, words
-        p.gap = 5 if mark == " " else min(words, 4)  # scripts that set no marks have chains of their own
+        if words < 4:
+            words += sum(1 for _ in islice(_WORDS.finditer(text, counted, start), 4 - words))
+        counted = end
+        p.gap = 5 if mark == " " else words  # scripts that set no marks have chains of their own
         p.left, p.right = text[start - 1 : start], nxt
         p.features = ()
         out.append(p)
@@ -343,15 +351,15 @@ def examples(texts: list[str]) -> list[tuple[list[Place], list[int]]]:
     """Training paragraphs: as they are, in lower case, and stripped of punctuation for scripts without end marks."""
     out = []
 
-    def add(paragraph: str, gold: list[int] | None = None) -> None:
+    def add(paragraph: str, gold: list[int] | None = None) -> tuple[list[Place], list[int]]:
         found = places(paragraph)
-        labels = rule_labels(paragraph, found) if gold is None or len(gold) != len(found) else gold
-        if gold is not None and len(gold) != len(found):
-            return
-        for p in found:
-            p.features = _features(p)
-        if found:
-            out.append((found, labels))
+        labels = rule_labels(paragraph, found) if gold is None else gold
+        if len(labels) == len(found):
+            for p in found:
+                p.features = _features(p)
+            if found:
+                out.append((found, labels))
+        return found, labels
 
     for whole in texts:
         text = drawn(whole)[0]
@@ -362,12 +370,11 @@ def examples(texts: list[str]) -> list[tuple[list[Place], list[int]]]:
             paragraph = text[a:b]
             if any(c.islower() for c in paragraph) and not any(c.isupper() for c in paragraph):
                 continue
-            add(paragraph)
+            found, labels = add(paragraph)
             if cased:
-                found = places(paragraph)
                 small = paragraph.lower()
                 if len(small) == len(paragraph):
-                    gold = dict(zip((p.end for p in found), rule_labels(paragraph, found)))
+                    gold = dict(zip((p.end for p in found), labels))
                     # Places that only lower case makes candidates are inside.
                     add(small, [gold.get(p.end, 0) for p in places(small)])
             if re.search(f"[{_SPACED}]", paragraph):
@@ -375,8 +382,54 @@ def examples(texts: list[str]) -> list[tuple[list[Place], list[int]]]:
     return out
 
 
+# Sentences of scripts with marks of their own, each cut at the bars, so that a corpus without them can be cut as well.
+WRITTEN = """
+Այսօր եղանակը լավ է։| Մենք գնում ենք քաղաք։| Որտե՞ղ է տունը։
+ዛሬ ጥሩ ቀን ነው።| ወደ ከተማ እንሄዳለን።| ቤቱ የት ነው፧
+ថ្ងៃនេះអាកាសធាតុល្អ។| យើងទៅផ្សារ។| គាត់មកពីភ្នំពេញ។
+ဒီနေ့ ရာသီဥတု ကောင်းတယ်။| ကျွန်တော်တို့ ဈေးကို သွားမယ်။| သူ အိမ်မှာ ရှိတယ်။
+དེ་རིང་གནམ་གཤིས་ཡག་པོ་འདུག། |ང་ཚོ་ཁྲོམ་ལ་འགྲོ་གི་ཡིན། |ཁོང་ནང་ལ་བཞུགས།
+今天天气很好。|我们去市场。|房子在哪里？
+今日は暑いです。|山へ行きます。|駅はどこですか？
+आज मौसम ठीक है।| हम बाज़ार जाते हैं।| तुम कहाँ हो?
+الطقس جميل اليوم.| نحن في السوق.| أين البيت؟
+"""
+
+
+def written(cases: str) -> list[tuple[list[Place], list[int]]]:
+    """Training paragraphs out of lines that are cut at bars."""
+    out = []
+    for line in cases.strip().split("\n"):
+        text, ends, at = line.replace("|", ""), set(), 0
+        for piece in line.split("|"):
+            at += len(piece)
+            ends.add(len(text[:at].rstrip()))
+        found = places(text)
+        for p in found:
+            p.features = _features(p)
+        out.append((found, [int(p.end in ends) for p in found]))
+    return out
+
+
 def fit(texts: list[str]) -> Tagger:
-    return train(examples([t[:TRAINING_CHARACTERS] for t in texts]))
+    return train(examples([t[:TRAINING_CHARACTERS] for t in texts]) + written(WRITTEN) * 20)
+
+
+def train_model(documents: DataFrame, key: str, text: str) -> Tagger:
+    """A tagger for a corpus, from the documents whose hash comes first: the same ones at every run."""
+    chosen = documents.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.substring(text, 1, TRAINING_CHARACTERS).alias("t"), F.xxhash64(key).alias("h"))
+    return fit([r.t for r in chosen.orderBy("h", "t").limit(TRAINING_DOCUMENTS).collect()])
+
+
+def save_model(spark: SparkSession, tagger: Tagger, path: str) -> None:
+    """Weights as a table, so that a corpus that grows is trained on once."""
+    rows = [(f, 0, 0, 0, w) for f, w in tagger.weights.items()] + [("", *p, w) for p, w in tagger.pairs.items()]
+    spark.createDataFrame(rows, "feature string, before int, this int, gap int, weight double").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> Tagger:
+    rows = spark.read.parquet(path).collect()
+    return Tagger({r.feature: r.weight for r in rows if r.feature}, {(r.before, r.this, r.gap): r.weight for r in rows if not r.feature})
 
 
 def cut(text: str | None, tagger: Tagger) -> list[tuple[int, int]]:
@@ -410,20 +463,16 @@ def cut(text: str | None, tagger: Tagger) -> list[tuple[int, int]]:
     return whole
 
 
-def split_sentences(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, start_char, end_char): every sentence of every document. Documents are cut where they are read."""
-    spark = documents.sparkSession
-    # The bounded sample: the documents whose hash comes first, so the same ones at every run.
-    chosen = documents.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.substring(text, 1, TRAINING_CHARACTERS).alias("t"), F.xxhash64(key).alias("h"))
-    sample = [r.t for r in chosen.orderBy("h", "t").limit(TRAINING_DOCUMENTS).collect()]
-    tagger = fit(sample)
-    sent = spark.sparkContext.broadcast((tagger.weights, tagger.pairs))
+def split_sentences(documents: DataFrame, key: str, text: str, model: Tagger | None = None) -> DataFrame:
+    """(key, start_char, end_char): every sentence of every document, cut where it is read. Without a ``model`` one is trained first."""
+    tagger = model or train_model(documents, key, text)
+    sent = documents.sparkSession.sparkContext.broadcast((tagger.weights, tagger.pairs))
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Tagger(*sent.value)
+        tagger = Tagger(*sent.value)
         for batch in batches:
-            rows = [(i, a, b) for i, t in enumerate(batch.column(1).to_pylist()) for a, b in cut(t, model)]
+            rows = [(i, a, b) for i, t in enumerate(batch.column(1).to_pylist()) for a, b in cut(t, tagger)]
             if rows:
                 i, a, b = zip(*rows)
                 yield pa.record_batch([batch.column(0).take(pa.array(i, pa.int64())), pa.array(a, pa.int64()), pa.array(b, pa.int64())], [key, "start_char", "end_char"])

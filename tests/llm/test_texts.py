@@ -204,6 +204,15 @@ CASES = [
     "ขบวนรถออกจากเนินชาเวลา 9.30 นาฬิกา| ทำไมคุณครูจึงมา| ปี 2050 มีคนมากๆ",
     "Цена выросла до 7 руб. за штуку.| Откройте стр. 4, рис. 2.",
     "  No mark at all  ",
+    # Written out by hand, in scripts the training texts above do not have.
+    "Ես սիրում եմ գրքեր։| Նա ապրում է Երևանում։| Դու ո՞վ ես։",
+    "ስሜ ዮሐንስ ነው።| አዲስ አበባ እኖራለሁ።| እንዴት ነህ፧",
+    "ខ្ញុំចូលចិត្តអានសៀវភៅ។| គាត់ធ្វើការនៅក្រុង។| ពួកគេញ៉ាំបាយ។",
+    "သူက ကျောင်းသား ဖြစ်တယ်။| သူမ ရန်ကုန်မှာ နေတယ်။",
+    "ང་སློབ་གྲྭ་བ་ཡིན། |ཁོང་ལྷ་སར་བཞུགས།",
+    "यह किताब अच्छी है।| वह घर गया।| क्या तुम आओगे?",
+    "هذا كتاب جيد.| ذهب إلى البيت.| هل تأتي؟",
+    "これは本です。|彼は家に帰りました。|来ますか？",
 ]
 
 
@@ -244,6 +253,14 @@ def test_long_and_odd_documents(spark, tagger):
     assert len(got) == 5 and sentences.split_sentences(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_a_model_is_kept_and_used_again(spark, tagger, tmp_path):
+    sentences.save_model(spark, tagger, str(tmp_path / "model"))
+    again = sentences.load_model(spark, str(tmp_path / "model"))
+    assert again.weights == dict(tagger.weights) and again.pairs == dict(tagger.pairs)
+    df = spark.createDataFrame([(1, "Dr. Brow left. He came back.")], "doc_id long, text string")
+    assert [(r.start_char, r.end_char) for r in sentences.split_sentences(df, "doc_id", "text", again).collect()] == [(0, 14), (15, 28)]
+
+
 def test_held_out_agreement(spark):
     """The tagger's decisions on documents it never saw are those of the sure rules."""
     folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
