@@ -40,7 +40,7 @@ class Settings:
     def require(self, name: str, hint: str = "") -> Any:
         found = self.get(name)
         if found is None:
-            raise MissingSetting(f"{self.source}: set `{name}`" + (f" ({hint})" if hint else ""))
+            raise MissingSetting(f"{self.source} gives no value for {name}" + (f": {hint}" if hint else ""))
         return found
 
     def section(self, name: str) -> Settings:

@@ -10,20 +10,26 @@ from collections.abc import Callable
 CODE_POINTS = (*range(0xD800), *range(0xE000, 0x30000), *range(0xE0000, 0xE1000))
 
 
-def ranges(wanted: Callable[[str], bool]) -> str:
-    """Body of a character class that holds exactly the wanted code points."""
-    out, start, last = [], None, None
+def spans(wanted: Callable[[str], bool]) -> list[tuple[int, int]]:
+    """First and last of the wanted code points that follow one another."""
+    out: list[list[int]] = []
     for code in CODE_POINTS:
         if wanted(chr(code)):
-            if start is not None and code != last + 1:
-                out.append(f"\\U{start:08x}-\\U{last:08x}")
-                start = None
-            if start is None:
-                start = code
-            last = code
-    if start is not None:
-        out.append(f"\\U{start:08x}-\\U{last:08x}")
-    return "".join(out)
+            if out and out[-1][1] == code - 1:
+                out[-1][1] = code
+            else:
+                out.append([code, code])
+    return [(a, b) for a, b in out]
+
+
+def ranges(wanted: Callable[[str], bool]) -> str:
+    """Body of a character class that holds exactly the wanted code points."""
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans(wanted))
+
+
+def java_ranges(wanted: Callable[[str], bool]) -> str:
+    """The same in the notation of the JVM."""
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans(wanted))
 
 
 # Code points that Unicode lists as Default_Ignorable beside the format characters,

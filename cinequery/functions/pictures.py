@@ -39,3 +39,16 @@ def difference_hash(grey: np.ndarray, size: int = 8) -> str:
     small = shrink(grey, size, size + 1)
     bits = (small[:, 1:] > small[:, :-1]).ravel()
     return f"{int(''.join('1' if b else '0' for b in bits), 2):0{size * size // 4}x}"
+
+
+def encode_picture(grey: np.ndarray, quality: int = 75) -> bytes:
+    """JPEG where the imaging library is there, else the plain grey format (PGM)."""
+    try:
+        from PIL import Image
+    except ImportError:
+        return b"P5 %d %d 255\n" % (grey.shape[1], grey.shape[0]) + np.ascontiguousarray(grey, np.uint8).tobytes()
+    import io
+
+    out = io.BytesIO()
+    Image.fromarray(np.asarray(grey, np.uint8)).save(out, "JPEG", quality=quality)
+    return out.getvalue()

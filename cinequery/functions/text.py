@@ -8,13 +8,14 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cinequery.functions.characters import CODE_POINTS
+from cinequery.functions.characters import CODE_POINTS, java_ranges
 
 
 @cache
-def _base_letters() -> tuple[str, str]:
-    """Characters whose folded form is another single character, and those forms."""
+def _base_letters() -> tuple[str, str, dict[str, str]]:
+    """Characters whose folded form is another single character, those forms, and the characters (by form) that fold to several."""
     source, target = [], []
+    several: dict[str, str] = {}
     for code in CODE_POINTS:
         c = chr(code)
         if code < 0x80 or 0xAC00 <= code < 0xD7A4:
@@ -23,13 +24,24 @@ def _base_letters() -> tuple[str, str]:
         plain = "".join(x for x in unicodedata.normalize("NFD", lowered) if unicodedata.category(x) != "Mn")
         if len(plain) == 1 and plain != c.lower():
             source.append(c), target.append(plain)
-    return "".join(source), "".join(target)
+        elif len(plain) > 1 and plain != c.lower():
+            several[plain] = several.get(plain, "") + c
+    return "".join(source), "".join(target), several
 
 
 def fold(text: Column) -> Column:
-    """Case folded, d-stroke as d, canonically decomposed, nonspacing marks dropped."""
-    source, target = _base_letters()
-    plain = F.translate(F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), source, target), "đ", "d")
+    """Case folded, d-stroke as d, canonically decomposed, nonspacing marks dropped. Hangul syllables stay whole."""
+    source, target, several = _base_letters()
+    def spelled(x: Column) -> Column:
+        for plain, letters in several.items():
+            x = F.regexp_replace(x, f"[{letters}]", plain)
+        return x
+
+    # Few texts hold a ligature or another letter that folds to several; only these go through the replacements.
+    # The lambda keeps them out of the generated code of all others.
+    rare = F.when(F.rlike(text, F.lit(f"[{''.join(several.values())}]")), F.array(text))
+    text = F.coalesce(F.transform(rare, spelled)[0], text)
+    plain = F.translate(F.translate(F.lower(text), source, target), "đ", "d")
     return F.regexp_replace(plain, r"\p{Mn}+", "")
 
 
@@ -43,9 +55,36 @@ def words_key(text: Column) -> Column:
     return F.array_join(tokens(text), " ")
 
 
+@cache
+def _maybe_uncomposed() -> str:
+    """Class of the characters that a composed text does not hold, or may hold as part of something to compose."""
+    alone = lambda c: not unicodedata.is_normalized("NFC", c)
+    joins = lambda c: unicodedata.combining(c) or unicodedata.category(c)[0] == "M" or "\u1161" <= c <= "\u11ff"
+    return java_ranges(lambda c: alone(c) or bool(joins(c)))
+
+
+@cache
+def _composer():
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("string")
+    def compose(texts):
+        import pyarrow as pa
+
+        return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+
+    return compose
+
+
+def composed(text: Column) -> Column:
+    """In normal form C. Only texts with a character that may compose leave the JVM."""
+    doubtful = F.when(F.rlike(text, F.lit(f"[{_maybe_uncomposed()}]")), text)
+    return F.coalesce(_composer()(doubtful), text)
+
+
 def tidy(text: Column) -> Column:
-    """White space runs as one space, none at the ends. The text is taken to be in composed form."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    """In composed form, white space runs as one space, none at the ends."""
+    return F.trim(F.regexp_replace(composed(text), r"(?U)\s+", " "))
 
 
 def contains_phrase(text: Column, phrases: list[str]) -> Column:

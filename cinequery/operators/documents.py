@@ -52,13 +52,15 @@ def overlapping(segments: DataFrame, shots: DataFrame, padding_ms: int = 0, cell
     """Pairs of a segment and a shot of one video that share time: ``[start, end)`` against the padded segment.
 
     The two sides meet by (video, time cell), so a video that holds a third of the rows is spread
-    over its cells, and a pair is kept in the first cell that both touch.
+    over its cells, and a pair is kept in the first cell that both touch. A segment has no cells before its
+    video's first shot or after its last, however wrong its times are.
     """
     start, end = F.col("start_ms") - padding_ms, F.col("end_ms") + padding_ms
     cells = lambda a, b: F.explode(F.sequence(F.floor(a / cell_ms), F.floor(b / cell_ms)))
     # A padded segment that ends before it starts can still meet a shot: the two tests are separate.
     left = segments.where("start_ms is not null and end_ms is not null").withColumn("_from", start).withColumn("_to", end)
-    left = left.withColumn("_low", F.least("_from", "_to")).withColumn("_high", F.greatest("_from", "_to"))
+    extent = shots.groupBy("video_id").agg(F.min("start_ms").alias("_first"), F.max(F.greatest("start_ms", "end_ms")).alias("_last"))
+    left = left.join(extent, "video_id").withColumn("_low", F.greatest("_first", F.least("_from", "_to"))).withColumn("_high", F.least("_last", F.greatest("_from", "_to"))).where("_low <= _high").drop("_first", "_last")
     left = left.withColumn("_cell", cells(F.col("_low"), F.col("_high"))).withColumnsRenamed({"start_ms": "segment_start", "end_ms": "segment_end"})
     right = shots.select("video_id", "shot_id", F.col("start_ms").alias("shot_start"), F.col("end_ms").alias("shot_end"))
     right = right.withColumn("_cell", cells(F.col("shot_start"), F.greatest(F.col("shot_end"), F.col("shot_start"))))

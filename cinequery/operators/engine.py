@@ -1,4 +1,8 @@
-"""The search engine: filled boxes to result rows, as one plan."""
+"""The search engine: a table of filled boxes to the result rows of all its queries, as one plan.
+
+``boxes(query_id, lane, text)`` has a row for each box; lanes answer all queries at once. What is wrong
+with a query is itself a table (``problems``), so a batch can be judged before anything is searched.
+"""
 
 from __future__ import annotations
 
@@ -8,74 +12,94 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinequery.models import Encoder, embed_texts
 from cinequery.operators import bm25, hits, vector_search
 from cinequery.operators.fusion import fuse
 
+RANKING = ["query_id", "rank", "video_id", "shot_id", "keyframe_id", "frame_index", "time_ms", "score", "others"]
+#: Lanes answer ``asked(query_id, text)`` with a ranking of shots for each query, at most ``depth`` shots.
+Lane = Callable[[DataFrame, int], DataFrame]
 
-class Lane:
-    """Answers one kind of query with a ranking of shots: (rank, video, shot, frame, score, others)."""
 
-    name: str
+def _filled():
+    return F.trim(F.coalesce("text", F.lit(""))) != ""
 
-    def search(self, query: str, depth: int) -> DataFrame:
-        raise NotImplementedError
 
+class Refused(ValueError):
+    """Queries that cannot be answered as they stand."""
 
-@dataclass
-class VisualLane(Lane):
-    """Text to a vector by ``encode`` (after ``translate``, if given), then the frames' nearest shots."""
 
-    index: DataFrame
-    encode: Callable[[str], list[float]]
-    translate: Callable[[str], str] | None = None
-    name: str = "visual"
+def vector_lane(index: DataFrame, vectors: Callable[[DataFrame], DataFrame]) -> Lane:
+    """Shots of the frames nearest to a query's vector. ``vectors``: (query_id, text) to (query_id, query_vector)."""
 
-    def search(self, query: str, depth: int) -> DataFrame:
-        vector = self.encode(self.translate(query) if self.translate else query)
-        asked = self.index.sparkSession.createDataFrame([(1, [float(x) for x in vector])], "query_id int, query_vector array<double>")
-        scored = vector_search.scored_frames(self.index, asked, keep=hits.MAX_LIMIT)
-        return hits.frame_lane(scored, ["query_id"], depth, [F.round("score", 12).desc(), F.col("keyframe_id")]).drop("query_id")
+    def search(asked: DataFrame, depth: int) -> DataFrame:
+        scored = vector_search.scored_frames(index, vectors(asked), keep=hits.MAX_LIMIT)
+        return hits.frame_lane(scored, ["query_id"], depth, [F.round("score", 12).desc(), F.col("keyframe_id")]).select(*RANKING)
 
+    return search
 
-@dataclass
-class KeywordLane(Lane):
-    index: bm25.KeywordIndex
-    name: str
 
-    def search(self, query: str, depth: int) -> DataFrame:
-        asked = self.index.lines.sparkSession.createDataFrame([(1, query)], "query_id int, text string")
-        own = bm25.KeywordIndex(*(getattr(self.index, t).where(F.col("lane") == self.name) for t in ("postings", "lengths", "stats", "lines")), self.index.k1, self.index.b)
-        return bm25.search(own, asked, depth).select("rank", "video_id", "shot_id", "keyframe_id", "frame_index", "time_ms", "score", "others")
+def visual_lane(index: DataFrame, encoder: Callable[[], Encoder], translate: Callable[[str], str] | None = None) -> Lane:
+    """Descriptions, translated where there is a translator, and encoded."""
+    return vector_lane(index, lambda asked: embed_texts(asked, "text", encoder, translate).select("query_id", F.col("vector").alias("query_vector")))
 
 
-@dataclass
-class SearchEngine:
-    """One box answers alone, several are fused; everything is checked before any lane runs."""
+def example_lane(index: DataFrame) -> Lane:
+    """The box holds the id of a keyframe that is like the wanted one."""
+    known = vector_search.usable_vectors(index).groupBy("keyframe_id").agg(F.min_by("vector", "id").alias("query_vector"))
+    return vector_lane(index, lambda asked: asked.join(known, asked["text"] == known["keyframe_id"]).select("query_id", "query_vector"))
+
+
+def keyword_lane(index: bm25.KeywordIndex, lane: str) -> Lane:
+    return lambda asked, depth: bm25.search(index.of(lane), asked, depth).select(*RANKING)
+
+
+def problems(boxes: DataFrame, lanes: Mapping[str, Lane], rrf_k: float | None) -> DataFrame:
+    """(query_id, problem): queries that fill no box, fill an unknown one, or several without a fusion constant."""
+    filled = boxes.withColumn("_lane", F.when(_filled(), F.col("lane")))
+    seen = filled.groupBy("query_id").agg(
+        F.count_distinct("_lane").alias("_n"), F.min(F.when(~F.col("_lane").isin(*lanes), F.col("_lane"))).alias("_odd")
+    )
+    why = F.when(F.col("_n") == 0, "no box is filled").when(F.col("_odd").isNotNull(), F.concat(F.lit("nothing answers the box "), "_odd"))
+    if rrf_k is None:
+        why = why.when(F.col("_n") > 1, "several boxes need the fusion constant fusion.rrf_k (60 where it was published)")
+    return seen.withColumn("problem", why).where("problem is not null").select("query_id", "problem")
 
+
+@dataclass(frozen=True)
+class SearchEngine:
     lanes: Mapping[str, Lane]
     rrf_k: float | None = None
     depth: int = 100
     rows: int = 100
     spread: tuple[int, int] | None = None
 
-    def search(self, boxes: Mapping[str, str]) -> DataFrame:
-        asked = {lane: text for lane, text in boxes.items() if text and text.strip()}
-        if not asked:
-            raise ValueError("fill in at least one box")
-        if unknown := sorted(set(asked) - set(self.lanes)):
-            raise ValueError(f"no such lane: {', '.join(unknown)}")
-        if len(asked) > 1 and self.rrf_k is None:
-            raise ValueError("set fusion.rrf_k to combine lanes (the published choice is 60)")
-        found = [self.lanes[lane].search(text, self.depth) for lane, text in asked.items()]
-        columns = ["rank", "video_id", "shot_id", "keyframe_id", "frame_index", "time_ms", "score", "others"]
-        ranking = found[0] if len(found) == 1 else fuse([f.select(*columns) for f in found], [], self.rrf_k)
-        return hits.shape(ranking, [], self.rows, self.spread)
-
-
-def batch(lanes: DataFrame, k: float, rows: int = 100, spread: tuple[int, int] | None = None) -> DataFrame:
-    """Result rows of many queries at once, from lane rankings with ``query_id`` and ``lane_no``."""
-    return hits.shape(fuse(lanes, ["query_id"], k), ["query_id"], rows, spread)
+    def rankings(self, boxes: DataFrame) -> DataFrame:
+        """What each filled box finds, with the lane's place in the order of lanes. A box filled twice is searched as one text."""
+        parts = boxes.where(_filled()).groupBy("query_id", "lane").agg(F.array_join(F.array_sort(F.collect_set("text")), " ").alias("text"))
+        found: DataFrame | None = None
+        for number, (name, search) in enumerate(self.lanes.items()):
+            one = search(parts.where(F.col("lane") == name).select("query_id", "text"), self.depth).withColumn("lane_no", F.lit(number))
+            found = one if found is None else found.unionByName(one)
+        if found is None:
+            raise Refused("the engine has no lanes")
+        return found
+
+    def search(self, boxes: DataFrame) -> DataFrame:
+        """(query_id, row, frame columns). One box answers alone, in its own order; several are fused. All queries are judged first."""
+        wrong = problems(boxes, self.lanes, self.rrf_k).orderBy("query_id").limit(5).collect()
+        if wrong:
+            raise Refused("; ".join(f"query {w.query_id}: {w.problem}" for w in wrong))
+        # Fused with itself alone a ranking keeps its order, whatever the constant: shares fall with the rank.
+        fused = fuse(self.rankings(boxes), ["query_id"], 60.0 if self.rrf_k is None else self.rrf_k)
+        return hits.shape(fused, ["query_id"], self.rows, self.spread)
 
 
 def query_frame(spark: SparkSession, texts: Mapping[int, str]) -> DataFrame:
     return spark.createDataFrame(list(texts.items()), "query_id int, text string")
+
+
+def box_frame(spark: SparkSession, queries: Mapping[int, Mapping[str, str | None]]) -> DataFrame:
+    """Boxes of a few queries: ``{query_id: {lane: text}}``."""
+    rows = [(q, lane, text) for q, boxes in queries.items() for lane, text in (boxes or {"": None}).items()]
+    return spark.createDataFrame(rows, "query_id int, lane string, text string")

@@ -21,9 +21,12 @@ def rank_rows(rows: DataFrame, by: Sequence[str], order: Sequence[Column], limit
     """Positions from 1 in a total order; with ``limit`` each task keeps its best before the exchange.
 
     With ``copies``, rows equal in the whole order are one record that was delivered more than once.
+    One ranking over all rows (no ``by``) is for a limited number of rows only, as one task numbers them.
     """
-    if not by and limit is not None and not copies:
-        rows = rows.orderBy(*order).limit(limit)  # so that the one window task sees few rows
+    if not by:
+        if limit is None or copies:
+            raise ValueError("a ranking without key columns needs a limit and rows that come once")
+        rows = rows.orderBy(*order).limit(limit)
     window = Window.partitionBy(*by).orderBy(*order)
     ranked = rows.withColumn(into, (F.dense_rank() if copies else F.row_number()).over(window))
     ranked = ranked if limit is None else ranked.where(F.col(into) <= limit)
@@ -75,7 +78,7 @@ def frame_lane(frames: DataFrame, by: Sequence[str], depth: int, order: Sequence
 def video_spread(rows: DataFrame, by: Sequence[str], keep_top: int, per_video: int, into: str = "place") -> DataFrame:
     """New places: the first ``keep_top`` as ranked, then ``per_video`` rows of each video in turn, videos as first seen."""
     if keep_top < 0 or per_video < 1:
-        raise ValueError("spread needs keep_top >= 0 and per_video >= 1")
+        raise ValueError(f"cannot keep the first {keep_top} rows and then take {per_video} of each video")
     tail = F.col("rank") > keep_top
     video = Window.partitionBy(*by, tail, "video_id")
     turn = F.floor((F.row_number().over(video.orderBy("rank")) - 1) / per_video)
@@ -86,7 +89,7 @@ def video_spread(rows: DataFrame, by: Sequence[str], keep_top: int, per_video: i
 def shape(shots: DataFrame, by: Sequence[str], rows: int = 100, spread: tuple[int, int] | None = None) -> DataFrame:
     """Result rows: one a shot, then the shots' spare frames in order, cut at ``rows``. Only shot rows are spread."""
     if rows < 1:
-        raise ValueError("rows must be 1 or more")
+        raise ValueError(f"{rows} rows asked for")
     frame = ["keyframe_id", "frame_index", "time_ms"]
     placed = video_spread(shots, by, *spread) if spread else shots.withColumn("place", F.col("rank"))
     # A shot's own row and its spares come out of one pass: (0, place, 0) and (1, rank, 1..).

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cinequery.functions.numbers import hamming
+from cinequery.functions.numbers import frame_time_ms, hamming
 from cinequery.operators.hits import rank_rows
 
 
@@ -32,11 +32,11 @@ def cover(scenes: DataFrame, video: str, frames: str) -> DataFrame:
 
 
 def shot_times(shots: DataFrame, fps: Column) -> DataFrame:
-    """``start_ms`` of each shot's first frame; ``end_ms`` where the next shot starts, or after the last frame."""
+    """``start_ms`` of each shot's first frame; ``end_ms`` where the next shot starts, or after the last frame. ``fps``: "25" or "13219/500"."""
     line = Window.partitionBy("video_id").orderBy("shot_id")
-    start = F.bround(F.col("start_frame").cast("decimal(18,0)") * 1000 / fps, 0).cast("long")
-    last = F.bround(F.col("end_frame").cast("decimal(18,0)") * 1000 / fps + F.lit(1000).cast("decimal(18,0)") / fps, 0).cast("long")
-    return shots.withColumn("start_ms", start).withColumn("end_ms", F.coalesce(F.lead("start_ms").over(line), last))
+    none = F.lit(None).cast("long")
+    at = lambda frame: frame_time_ms(none, F.lit(None).cast("string"), frame, fps.cast("string"))
+    return shots.withColumn("start_ms", at(F.col("start_frame"))).withColumn("end_ms", F.coalesce(F.lead("start_ms").over(line), at(F.col("end_frame") + 1)))
 
 
 def middle_slots(shots: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cinequery.models import embed
 from cinequery.operators import bm25, documents, incremental, preprocess
+from cinequery.sources.tables import materialize
 from cinequery.sources.vector_store import VectorStore
 
 
@@ -44,7 +45,7 @@ def build_visual(keyframes: DataFrame, pictures: DataFrame, store: VectorStore,
     state = incremental.currency(indexed, store.rows())
     videos = indexed.select("video_id").distinct() if force else state.where("not is_current").select("video_id")
     wanted = indexed.join(videos, "video_id", "left_semi").select("video_id", "shot_id", "keyframe_id", "frame_index", "time_ms")
-    done = embed(wanted.join(pictures, "keyframe_id"), "content", encoder, batch_size).drop("content")
+    done = materialize(embed(wanted.join(pictures, "keyframe_id"), "content", encoder, batch_size).drop("content"), "embedded")
     failed = done.where("error is not null").select("video_id", "keyframe_id", "error")
     good = done.join(failed.select("video_id").distinct(), "video_id", "left_anti")
     store.replace_videos(good.drop("error"), videos.join(failed.select("video_id").distinct(), "video_id", "left_anti"))

@@ -2,26 +2,38 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinequery.functions.text import tokens
-from cinequery.operators import bm25, documents, fusion, hits, vector_search
-from cinequery.operators.engine import query_frame
+from cinequery.operators import bm25, documents, hits, vector_search
+from cinequery.operators.engine import SearchEngine, box_frame, example_lane, keyword_lane, query_frame
 from cinequery.plans import retrieval, views
 from cinequery.plans.views import B, DEPTH, K1, KEYWORDS, PHRASES, ROWS, RRF_K, sql_tidy, sql_view, sql_words
 from cinequery.sources.files import parse_query_text
-from cinequery.sources.tables import table
+from cinequery.sources.tables import fingerprint, keep_until_exit, shared_folder, table
 
 PADDING_MS = 500
 
 
+_STANDING: dict[tuple[int, str], str] = {}
+
+
 def _index(s: SparkSession, d: str) -> bm25.KeywordIndex:
-    return bm25.build(views.lines(s, d, "ocr", "asr"), K1, B)
+    """The index of the lines of ``d``: built once a session and state of the table, then read from the shared folder."""
+    key = (id(s.sparkContext), fingerprint(s, d, "shot_lines"))
+    if key not in _STANDING:
+        path = f"{shared_folder(s)}/keywords-{uuid.uuid4().hex}"
+        bm25.build(views.lines(s, d, "ocr", "asr"), K1, B).save(path)
+        keep_until_exit(s, path)
+        _STANDING[key] = path
+    return bm25.KeywordIndex.load(s, _STANDING[key], K1, B)
 
 
 def bm25_postings(s: SparkSession, d: str) -> DataFrame:
-    return _index(s, d).postings
+    return bm25.build(views.lines(s, d, "ocr", "asr"), K1, B).postings.drop("length")
 
 
 def bm25_stats(s: SparkSession, d: str) -> DataFrame:
@@ -42,13 +54,22 @@ def bm25_frame(s: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("query_id").cast("long"), "lane", "rank", "video_id", "shot_id", "keyframe_id", "frame_index", "matches")
 
 
+def _engine(s: SparkSession, d: str) -> SearchEngine:
+    index, frames = _index(s, d), views.vectors(s, d)
+    return SearchEngine({"example": example_lane(frames), "ocr": keyword_lane(index, "ocr"), "asr": keyword_lane(index, "asr")}, RRF_K, DEPTH, ROWS)
+
+
 def kis_fused(s: SparkSession, d: str) -> DataFrame:
-    """A visual box and an OCR box, fused and shaped."""
-    scored = vector_search.scored_frames(views.vectors(s, d), vector_search.examples(table(s, d, "milvus_index"), 1), keep=hits.MAX_LIMIT)
-    columns = ["rank", "video_id", "shot_id", "keyframe_id", "frame_index", "time_ms", "score", "others"]
-    visual = hits.frame_lane(scored, ["query_id"], DEPTH, [F.round("score", 12).desc(), F.col("keyframe_id")]).select(*columns)
-    words = bm25.search(bm25.build(views.lines(s, d, "ocr"), K1, B), query_frame(s, {1: KEYWORDS[1]}), DEPTH).select(*columns)
-    return hits.shape(fusion.fuse([visual, words], [], RRF_K), [], ROWS).select("row", "video_id", "shot_id", "keyframe_id")
+    """A visual box (a known keyframe as the example) and an OCR box, fused and shaped."""
+    first = vector_search.usable_vectors(table(s, d, "milvus_index")).orderBy("id").select("keyframe_id").first()
+    found = _engine(s, d).search(box_frame(s, {1: {"example": first.keyframe_id if first else "", "ocr": KEYWORDS[1]}}))
+    return found.select("row", "video_id", "shot_id", "keyframe_id")
+
+
+def kis_engine(s: SparkSession, d: str) -> DataFrame:
+    """A batch of queries through the engine: every evaluation item's text in the OCR and in the speech box."""
+    boxes = table(s, d, "eval_items").select(F.col("item_id").alias("query_id"), F.explode(F.array(F.lit("ocr"), F.lit("asr"))).alias("lane"), "text")
+    return _engine(s, d).search(boxes).select("query_id", "row", "video_id", "shot_id", "keyframe_id")
 
 
 def text_fold(s: SparkSession, d: str) -> DataFrame:
@@ -94,6 +115,7 @@ QUERIES: dict[str, retrieval.Query] = {
     "bm25_topk": bm25_topk,
     "bm25_frame": bm25_frame,
     "kis_fused": kis_fused,
+    "kis_engine": kis_engine,
     "text_fold": text_fold,
     "asr_drop": asr_drop,
     "asr_overlap": asr_overlap,
@@ -104,14 +126,16 @@ QUERIES: dict[str, retrieval.Query] = {
 }
 
 
-def _bm25(lanes: str) -> str:
-    asked = ", ".join(f"({i}::bigint, '{text}')" for i, text in KEYWORDS.items())
+_KEYWORDS = f"(values {', '.join(f'({i}::bigint, {chr(39)}{text}{chr(39)})' for i, text in KEYWORDS.items())}) as q(query_id, text)"
+
+
+def _bm25(lanes: str, asked: str = _KEYWORDS) -> str:
     return f"""with {sql_view('ln')}, worded as (select lane, video_id, shot_id, keyframe_id, frame_index, {sql_words('text')} as w from ln where lane in ({lanes})),
     postings as (select lane, video_id, shot_id, term, count(*) as tf from (select lane, video_id, shot_id, unnest(w) as term from worded) group by all),
     lengths as (select lane, video_id, shot_id, sum(len(w)) as length from worded group by all),
     stats as (select lane, count(*) as documents, avg(length) as average from lengths group by lane),
     holding as (select lane, term, count(*) as holding from postings group by all),
-    asked as (select query_id, list_distinct({sql_words('text')}) as w from (values {asked}) as q(query_id, text)),
+    asked as (select query_id, list_distinct({sql_words('text')}) as w from {asked}),
     terms as (select query_id, unnest(w) as term from asked),
     weighed as (
         select query_id, lane, video_id, shot_id,
@@ -151,6 +175,13 @@ SQL: dict[str, str] = {
             union all select video_id, shot_id, other_ids[i], 1, rank, i from fused, unnest(range(1, coalesce(len(other_ids), 0) + 1)) as t(i)
         )
         select * from (select row_number() over (order by part, a, b) as row, video_id, shot_id, keyframe_id from parts) where row <= {ROWS}""",
+    "kis_engine": f"""{_bm25("'ocr', 'asr'", '(select item_id as query_id, text from eval_items)')},
+        summed as (select query_id, video_id, shot_id, list_sum(list_sort(list(1.0::double / ({RRF_K}::double + rank)))) as total, min(rank) as top from framed group by all),
+        kept as (select * from framed qualify row_number() over (partition by query_id, video_id, shot_id order by rank, lane desc) = 1)
+        select * from (
+            select query_id, row_number() over (partition by query_id order by total desc, top, video_id, shot_id) as row, video_id, shot_id, keyframe_id
+            from summed join kept using (query_id, video_id, shot_id)
+        ) where row <= {ROWS}""",
     "text_fold": f"select doc_id, array_to_string({sql_words('text')}, ' ') as words from documents",
     "asr_drop": f"""with {sql_view('sg')}, t as (select segment_id, {sql_tidy('text')} as text from sg)
         select * from t where text <> '' and not ({' or '.join(f"contains(lower(text), '{p.lower()}')" for p in PHRASES)})""",

@@ -22,7 +22,8 @@ def _example(s: SparkSession, d: str, count: int = 1) -> DataFrame:
 
 
 def vec_topk(s: SparkSession, d: str) -> DataFrame:
-    found = vector_search.search(views.vectors(s, d), _example(s, d, 3), 50)
+    """The 50 frames nearest to each row whose id is divisible by 100, out of all."""
+    found = vector_search.search(views.vectors(s, d), vector_search.every_hundredth(table(s, d, "milvus_index")), 50)
     return found.select("query_id", "rank", "keyframe_id", F.round("score", 6).alias("score"))
 
 
@@ -106,9 +107,9 @@ def trake_videos(s: SparkSession, d: str) -> DataFrame:
     return found.select("rank", "video_id", F.round("total", 6).alias("total"))
 
 
-def _chains(rules: trake.ChainRules) -> Query:
+def _chains(steps: trake.Steps) -> Query:
     def query(s: SparkSession, d: str) -> DataFrame:
-        found = trake.chains(_chain_scores(s, d), EVENTS, rules)
+        found = trake.chains(_chain_scores(s, d), EVENTS, steps)
         return found.select("video_id", "first_frame", F.round("score", 6).alias("score"), F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
     return query
@@ -116,7 +117,7 @@ def _chains(rules: trake.ChainRules) -> Query:
 
 def _search(spread: bool) -> Query:
     def query(s: SparkSession, d: str) -> DataFrame:
-        found = trake.trake(views.vectors(s, d), _example(s, d, EVENTS), EVENTS, trake.ChainRules(), DEPTH, ROWS, spread)
+        found = trake.trake(views.vectors(s, d), _example(s, d, EVENTS), EVENTS, trake.Steps(), DEPTH, ROWS, spread)
         return found.select("rank", "video_id", "first_frame", F.round("score", 6).alias("score"), F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
     return query
@@ -134,7 +135,7 @@ def answer_qa(s: SparkSession, d: str) -> DataFrame:
 
 
 def answer_trake(s: SparkSession, d: str) -> DataFrame:
-    found = trake.trake(views.vectors(s, d), _example(s, d, EVENTS), EVENTS, trake.ChainRules(), DEPTH, ROWS)
+    found = trake.trake(views.vectors(s, d), _example(s, d, EVENTS), EVENTS, trake.Steps(), DEPTH, ROWS)
     return submission.trake(found, 1)
 
 
@@ -151,9 +152,9 @@ QUERIES: dict[str, Query] = {
     "kis_spread": kis_spread,
     "recall_at_k": recall_at_k,
     "trake_videos": trake_videos,
-    "trake_chains": _chains(trake.ChainRules()),
-    "trake_gap": _chains(trake.ChainRules("strict", 2_000, 30_000)),
-    "trake_loose": _chains(trake.ChainRules("loose")),
+    "trake_chains": _chains(trake.Steps()),
+    "trake_gap": _chains(trake.Steps.of("strict", 2_000, 30_000)),
+    "trake_loose": _chains(trake.Steps.of("loose")),
     "trake_topk": _search(False),
     "trake_spread": _search(True),
     "answer_kis": answer_kis,
@@ -280,7 +281,9 @@ _TOPK = _ranked_sql("round(score, 12) desc, video_id, first_frame")
 _KIS = f"{_visual_sql(1)}, {_shape_sql('shots')}"
 
 SQL: dict[str, str] = {
-    "vec_topk": f"""with {sql_view('ix')}, {_QUERY.format(n=3)}, {_SCORED}
+    "vec_topk": f"""with {sql_view('ix')}, qv as (
+            select distinct on (id) id as query_id, vector::double[] as q from milvus_index where id % 100 = 0 and list_max(list_transform(vector, lambda x: abs(x))) > 0
+        ), {_SCORED}
         select query_id, row_number() over (partition by query_id order by round(score, 12) desc, keyframe_id) as rank, keyframe_id, round(score, 6) as score from scored qualify rank <= 50""",
     "vec_in_video": f"""with {sql_view('ix')}, {_QUERY.format(n=1)}, {_SCORED}
         select query_id, row_number() over (partition by query_id order by round(score, 12) desc, keyframe_id) as rank, keyframe_id, round(score, 6) as score

@@ -47,12 +47,7 @@ def quality_gate(s: SparkSession, d: str) -> DataFrame:
 
 
 def near_dup(s: SparkSession, d: str) -> DataFrame:
-    rows = views.keyframes(s, d).where("dhash is not null")
-    return preprocess.near_duplicates(rows, DISTANCE).select("keyframe_id", "group_no", "indexed")
-
-
-def near_dup_all(s: SparkSession, d: str) -> DataFrame:
-    """As near_dup, over all keyframes, also those without a hash."""
+    """Groups of near-duplicates over all keyframes, also those without a hash."""
     return preprocess.near_duplicates(views.keyframes(s, d), DISTANCE).select("keyframe_id", "group_no", "indexed")
 
 
@@ -61,41 +56,23 @@ def each_alone(s: SparkSession, d: str) -> DataFrame:
 
 
 def reselect(s: SparkSession, d: str) -> DataFrame:
-    """The gate and the groups anew, from the stored measurements."""
-    rows = views.keyframes(s, d).where("dhash is not null")
-    return preprocess.reselect(rows, QUALITY, DISTANCE).select("keyframe_id", "rejected", "group_no", "indexed")
-
-
-def reselect_all(s: SparkSession, d: str) -> DataFrame:
-    """As reselect, over all keyframes, also those without a hash."""
+    """The gate and the groups anew, from the stored measurements of all keyframes."""
     return preprocess.reselect(views.keyframes(s, d), QUALITY, DISTANCE).select("keyframe_id", "rejected", "group_no", "indexed")
 
 
-def _scenes(s: SparkSession, d: str, left_out: int | None = 3) -> DataFrame:
-    """Scenes with gaps: shots without their first and last frames; of every five, ``left_out`` not at all."""
+def shot_cover(s: SparkSession, d: str) -> DataFrame:
+    """All shots, without their first and last frames, as scenes with gaps that are tiled again."""
     shots = table(s, d, "shots")
     frames = shots.groupBy("video_id").agg((F.max("end_frame") + 10).alias("frames"))
-    kept = shots if left_out is None else shots.where(F.col("shot_id") % 5 != left_out)
-    cut = kept.select("video_id", (F.col("start_frame") + 3).alias("start"), (F.col("end_frame") - 2).alias("end"))
-    return frames.join(cut, "video_id", "left")
-
-
-def _tiled(scenes: DataFrame) -> DataFrame:
+    scenes = frames.join(shots.select("video_id", (F.col("start_frame") + 3).alias("start"), (F.col("end_frame") - 2).alias("end")), "video_id", "left")
     return preprocess.cover(scenes, "video_id", "frames").select("video_id", F.col("shot_id").cast("long"), "start_frame", "end_frame")
 
 
-def shot_cover(s: SparkSession, d: str) -> DataFrame:
-    return _tiled(_scenes(s, d))
-
-
-def shot_cover_all(s: SparkSession, d: str) -> DataFrame:
-    """As shot_cover, over all shots."""
-    return _tiled(_scenes(s, d, None))
-
-
 def shot_times(s: SparkSession, d: str) -> DataFrame:
-    timed = preprocess.shot_times(table(s, d, "shots").select("video_id", "shot_id", "start_frame", "end_frame"), F.lit(25).cast("decimal(18,0)"))
-    return timed
+    """By each video's own rate."""
+    shots = table(s, d, "shots").select("video_id", "shot_id", "start_frame", "end_frame")
+    rates = table(s, d, "videos").select("video_id", "fps")
+    return preprocess.shot_times(shots.join(rates, "video_id", "left"), F.col("fps")).drop("fps")
 
 
 def entropy(s: SparkSession, d: str) -> DataFrame:
@@ -113,12 +90,9 @@ QUERIES: dict[str, Query] = {
     "kf_times": kf_times,
     "quality_gate": quality_gate,
     "near_dup": near_dup,
-    "near_dup_all": near_dup_all,
     "each_alone": each_alone,
     "reselect": reselect,
-    "reselect_all": reselect_all,
     "shot_cover": shot_cover,
-    "shot_cover_all": shot_cover_all,
     "shot_times": shot_times,
     "entropy": entropy,
 }
@@ -133,8 +107,8 @@ _SLOTS = f"""slots as (
 )"""
 
 
-def _groups(gate: str, frames: str = "dhash is not null") -> str:
-    return f"""with {sql_view('kf')}, judged as (select * exclude (rejected, group_no, indexed), {gate} as rejected from kf where {frames}),
+def _groups(gate: str) -> str:
+    return f"""with {sql_view('kf')}, judged as (select * exclude (rejected, group_no, indexed), {gate} as rejected from kf),
     kept as (select *, ('0x' || lpad(lower(dhash), 16, '0'))::ubigint as h from judged where rejected is null),
     flagged as (select *, case when bit_count(xor(h, lag(h) over (partition by video_id, shot_id order by frame_index))) <= {DISTANCE} then 0 else 1 end as fresh from kept),
     numbered as (select *, sum(fresh) over (partition by video_id order by shot_id, frame_index) - 1 as g from flagged),
@@ -142,14 +116,6 @@ def _groups(gate: str, frames: str = "dhash is not null") -> str:
     select j.keyframe_id, j.rejected, c.g::bigint as group_no, coalesce(c.best, false) as indexed from judged j left join chosen c using (keyframe_id)"""
 
 
-def _cover_sql(shots: str) -> str:
-    return f"""with scenes as (select video_id, start_frame + 3 as s, end_frame - 2 as e from {shots}), n as (select video_id, max(end_frame) + 10 as frames from shots group by video_id),
-        clipped as (select video_id, frames, greatest(s, 0) as s, least(e, frames - 1) as e from scenes join n using (video_id) where s <= e and s < frames and e >= 0),
-        cuts as (select *, row_number() over w as k, lead(s) over w as next_s, lag(e) over w as last_e from clipped window w as (partition by video_id order by s, e))
-        select video_id, k - 1 as shot_id, case when k = 1 then 0 else (last_e + s) // 2 + 1 end as start_frame, coalesce((e + next_s) // 2, frames - 1) as end_frame from cuts
-        union all select video_id, 0, 0, frames - 1 from n anti join clipped using (video_id)"""
-
-
 SQL: dict[str, str] = {
     "kf_indexed": "select distinct video_id, keyframe_id, frame_index, time_ms from keyframes where indexed",
     "kf_middle": "select video_id, shot_id, (start_frame + end_frame) // 2 as frame_index, printf('%s_%06d', video_id, (start_frame + end_frame) // 2) as keyframe_id from shots",
@@ -166,15 +132,23 @@ SQL: dict[str, str] = {
             case when pts is null then 'fps' else 'pts' end as time_source from parts""",
     "quality_gate": f"with {sql_view('kf')} select keyframe_id, {_GATE} as reason from kf",
     "near_dup": f"select keyframe_id, group_no, indexed from ({_groups('rejected')})",
-    "near_dup_all": f"select keyframe_id, group_no, indexed from ({_groups('rejected', 'true')})",
     "each_alone": f"""with {sql_view('kf')}, kept as (select keyframe_id, row_number() over (partition by video_id order by shot_id, frame_index) - 1 as g from kf where rejected is null)
         select keyframe_id, g as group_no, g is not null as indexed from kf left join kept using (keyframe_id)""",
     "reselect": _groups(_GATE),
-    "reselect_all": _groups(_GATE, "true"),
-    "shot_cover": _cover_sql("shots where shot_id % 5 <> 3"),
-    "shot_cover_all": _cover_sql("shots"),
-    "shot_times": """select video_id, shot_id, start_frame, end_frame, start_frame * 40 as start_ms,
-        coalesce(lead(start_frame * 40) over (partition by video_id order by shot_id), end_frame * 40 + 40) as end_ms from shots""",
+    "shot_cover": """with scenes as (select video_id, start_frame + 3 as s, end_frame - 2 as e from shots), n as (select video_id, max(end_frame) + 10 as frames from shots group by video_id),
+        clipped as (select video_id, frames, greatest(s, 0) as s, least(e, frames - 1) as e from scenes join n using (video_id) where s <= e and s < frames and e >= 0),
+        cuts as (select *, row_number() over w as k, lead(s) over w as next_s, lag(e) over w as last_e from clipped window w as (partition by video_id order by s, e))
+        select video_id, k - 1 as shot_id, case when k = 1 then 0 else (last_e + s) // 2 + 1 end as start_frame, coalesce((e + next_s) // 2, frames - 1) as end_frame from cuts
+        union all select video_id, 0, 0, frames - 1 from n anti join clipped using (video_id)""",
+    "shot_times": """with rated as (
+            select shots.*, split_part(fps, '/', 1)::bigint as n, coalesce(nullif(split_part(fps, '/', 2), ''), '1')::bigint as d from shots left join videos using (video_id)
+        ), timed as (
+            select *, start_frame * d * 1000 as a, (end_frame + 1) * d * 1000 as z from rated
+        ), rounded as (
+            select *, case when (a % n) * 2 > n or ((a % n) * 2 = n and (a // n) % 2 = 1) then a // n + 1 else a // n end as start_at,
+                case when (z % n) * 2 > n or ((z % n) * 2 = n and (z // n) % 2 = 1) then z // n + 1 else z // n end as end_at from timed
+        )
+        select video_id, shot_id, start_frame, end_frame, start_at as start_ms, coalesce(lead(start_at) over (partition by video_id order by shot_id), end_at) as end_ms from rounded""",
     "entropy": f"""with {sql_view('kf')}, bins as (select video_id, floor(brightness / 16) as bin, count(*) as n from kf group by all)
         select video_id, round(-sum(p * log2(p)), 4) + 0.0::double as bits from (select video_id, n / sum(n) over (partition by video_id) as p from bins) group by video_id""",
 }

@@ -1,13 +1,15 @@
-"""Collections of vectors as Parquet: one an encoder, in buckets of videos.
+"""Collections of vectors as Parquet: one an encoder, in buckets of videos, with a manifest a version.
 
-A collection is a folder with a small description and one partition folder a bucket. Replacing a
-video's vectors rewrites its bucket only; a bucket's number follows from the video, so neither the
-number of folders nor the cost of a change grows with the number of videos.
+A collection is a folder with a small description, data folders that are written once and never
+changed, and manifests that say which data folders hold each bucket. A change writes new data and then,
+in one step, the next manifest: readers see the collection before or after it, also when a job dies in
+between. Replacing a video's vectors rewrites its bucket only. More videos want more buckets: ``rebucket``.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +17,11 @@ from pyspark.sql import functions as F
 
 from cinequery import schemas
 from cinequery.operators import vector_search
-from cinequery.sources.tables import materialize
+from cinequery.sources.tables import hadoop
 
+#: Buckets of a new collection.
 BUCKETS = 256
+_COLUMNS = [c.split()[0] for c in schemas.VECTORS.split(", ")]
 
 
 def resolve_uri(uri: str, root: str | Path) -> str:
@@ -32,40 +36,47 @@ class VectorStore:
     # -- the description, through the file system that holds the data
 
     def _file(self, name: str):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+        return hadoop(self.spark, f"{self.path}/{name}")
 
     def exists(self) -> bool:
         system, path = self._file("_collection.json")
         return system.exists(path)
 
-    def create(self, dim: int) -> VectorStore:
+    def create(self, dim: int, buckets: int = BUCKETS) -> VectorStore:
         if self.exists():
-            raise FileExistsError(f"there is a collection {self.name!r} already")
-        if dim < 1:
-            raise ValueError("vectors have at least one number")
-        system, path = self._file("_collection.json")
+            raise FileExistsError(f"collection {self.name!r} stands already")
+        if dim < 1 or buckets < 1:
+            raise ValueError("vectors have at least one number, and a collection one bucket")
         try:
-            out = system.create(path, False)
-            out.write(bytearray(json.dumps({"dim": dim, "buckets": BUCKETS}).encode()))
-            out.close()
+            self._commit(0, {"buckets": buckets, "held": {}})
+            self._write("_collection.json", {"dim": dim})
         except Exception:
-            system.delete(path, False)
+            self.drop()
             raise
         return self
 
     def open(self) -> VectorStore:
         if not self.exists():
-            raise FileNotFoundError(f"there is no collection {self.name!r}: build the visual index first")
+            raise FileNotFoundError(f"collection {self.name!r} was not built yet (step visual)")
         return self
 
     def drop(self) -> None:
         system, path = self._file("")
         system.delete(path, True)
 
-    def _read(self) -> dict[str, int]:
-        system, path = self._file("_collection.json")
+    def _write(self, name: str, value: dict) -> None:
+        """Written aside and renamed; an error where the name is taken."""
+        system, path = self._file(name)
+        _, aside = self._file(f"{name}.{uuid.uuid4().hex}")
+        out = system.create(aside, False)
+        out.write(bytearray(json.dumps(value).encode()))
+        out.close()
+        if system.exists(path) or not system.rename(aside, path):
+            system.delete(aside, False)
+            raise FileExistsError(f"collection {self.name}: {name} was written by another job")
+
+    def _read(self, name: str) -> dict:
+        system, path = self._file(name)
         data = system.open(path)
         try:
             return json.loads(bytes(data.readAllBytes()).decode())
@@ -74,12 +85,56 @@ class VectorStore:
 
     @property
     def dim(self) -> int:
-        return self._read()["dim"]
+        return self._read("_collection.json")["dim"]
+
+    # -- versions
+
+    def _names(self, folder: str) -> list[str]:
+        system, path = self._file(folder)
+        return sorted(s.getPath().getName() for s in system.listStatus(path)) if system.exists(path) else []
+
+    def _latest(self) -> tuple[int, dict]:
+        """Number and manifest of the newest version."""
+        name = [n for n in self._names("manifests") if n.endswith(".json")][-1]
+        return int(name.removesuffix(".json")), self._read(f"manifests/{name}")
+
+    def _commit(self, version: int, manifest: dict) -> None:
+        self._write(f"manifests/{version:012d}.json", manifest)
+
+    def _store(self, rows: DataFrame, buckets: int) -> dict[str, str]:
+        """Write rows as a new data folder; its folder of each bucket."""
+        name = f"data/{uuid.uuid4().hex}"
+        ready = rows.select(*_COLUMNS).withColumn("bucket", self._bucket(buckets))
+        # By key within the bucket: a video of any size is written by many tasks.
+        ready.repartitionByRange("bucket", "video_id", "keyframe_id").sortWithinPartitions("bucket", "video_id").write.partitionBy("bucket").parquet(f"{self.path}/{name}")
+        return {n.removeprefix("bucket="): f"{name}/{n}" for n in self._names(name) if n.startswith("bucket=")}
+
+    def _load(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], schemas.VECTORS)
+        return self.spark.read.schema(schemas.VECTORS).parquet(*(f"{self.path}/{f}" for f in folders))
+
+    def vacuum(self) -> None:
+        """Remove data that no longer counts. Only when nobody reads an older version."""
+        version, manifest = self._latest()
+        used = {f.split("/")[1] for held in manifest["held"].values() for f in held}
+        for name in self._names("data"):
+            if name not in used:
+                system, path = self._file(f"data/{name}")
+                system.delete(path, True)
+        for name in self._names("manifests"):
+            if name != f"{version:012d}.json":
+                system, path = self._file(f"manifests/{name}")
+                system.delete(path, False)
+
+    def rebucket(self, buckets: int) -> None:
+        version, _ = self._latest()
+        self._commit(version + 1, {"buckets": buckets, "held": {b: [f] for b, f in self._store(self.rows(), buckets).items()}})
 
     # -- rows
 
-    def _bucket(self):
-        return F.pmod(F.xxhash64("video_id"), F.lit(self._read()["buckets"])).cast("int")
+    def _bucket(self, buckets: int):
+        return F.pmod(F.xxhash64("video_id"), F.lit(buckets)).cast("int")
 
     def _checked(self, rows: DataFrame) -> DataFrame:
         """An error where a vector does not fit, naming both sizes."""
@@ -87,37 +142,32 @@ class VectorStore:
         said = F.concat(F.lit("a vector of "), F.size("vector").cast("string"), F.lit(f" numbers does not fit collection {self.name}, which holds vectors of {dim}"))
         return rows.withColumn("vector", F.when(F.size("vector") == dim, F.col("vector").cast("array<float>")).otherwise(F.raise_error(said)))
 
+    def _ready(self, rows: DataFrame) -> DataFrame:
+        """Checked rows; one without ``id`` gets that of its place, the same at every run."""
+        if "id" not in rows.columns:
+            rows = rows.withColumn("id", F.xxhash64("video_id", "keyframe_id", "frame_index"))
+        return self._checked(rows.select(*_COLUMNS))
+
     def rows(self) -> DataFrame:
-        system, path = self._file("rows")
-        if not system.exists(path):
-            return self.spark.createDataFrame([], schemas.VECTORS)
-        return self.spark.read.schema(f"{schemas.VECTORS}, bucket int").parquet(f"{self.path}/rows").drop("bucket")
+        return self._load([f for held in self._latest()[1]["held"].values() for f in held])
 
     def insert(self, rows: DataFrame) -> None:
-        """Append; a row without ``id`` gets one."""
-        if "id" not in rows.columns:
-            rows = rows.withColumn("id", F.xxhash64("keyframe_id", F.uuid()))
-        columns = [c.split()[0] for c in schemas.VECTORS.split(", ")]
-        ready = self._checked(rows.select(*columns)).withColumn("bucket", self._bucket())
-        ready.repartition("bucket").sortWithinPartitions("bucket", "video_id").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/rows")
+        version, manifest = self._latest()
+        for bucket, folder in self._store(self._ready(rows), manifest["buckets"]).items():
+            manifest["held"].setdefault(bucket, []).append(folder)
+        self._commit(version + 1, manifest)
 
     def replace_videos(self, rows: DataFrame, videos: DataFrame) -> None:
         """Drop all vectors of ``videos(video_id)`` and write ``rows``: an upsert by video that rewrites their buckets only."""
-        if "id" not in rows.columns:
-            rows = rows.withColumn("id", F.xxhash64("keyframe_id", F.uuid()))
-        columns = [c.split()[0] for c in schemas.VECTORS.split(", ")]
+        version, manifest = self._latest()
         gone = videos.select("video_id").distinct()
-        stored = self.rows().withColumn("bucket", self._bucket())
-        touched = gone.withColumn("bucket", self._bucket()).select("bucket").distinct()  # at most BUCKETS rows
-        rest = stored.join(F.broadcast(touched), "bucket", "left_semi").join(gone, "video_id", "left_anti")
-        fresh = self._checked(rows.select(*columns)).withColumn("bucket", self._bucket())
-        # A bucket that becomes empty must be emptied too, which an overwrite of partitions would not do.
-        changed = materialize(rest.select(*columns, "bucket").unionByName(fresh), "buckets")
-        emptied = touched.join(changed.select("bucket").distinct(), "bucket", "left_anti").collect()
-        changed.repartition("bucket").sortWithinPartitions("bucket", "video_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/rows")
-        for row in emptied:
-            system, path = self._file(f"rows/bucket={row.bucket}")
-            system.delete(path, True)
+        touched = {str(r.b) for r in gone.select(self._bucket(manifest["buckets"]).alias("b")).distinct().collect()}  # at most one a bucket
+        kept = self._load([f for bucket in sorted(touched) for f in manifest["held"].get(bucket, [])]).join(gone, "video_id", "left_anti")
+        written = self._store(kept.select(*_COLUMNS).unionByName(self._ready(rows)), manifest["buckets"])
+        held = {b: folders for b, folders in manifest["held"].items() if b not in touched}
+        for bucket, folder in written.items():
+            held.setdefault(bucket, []).append(folder)
+        self._commit(version + 1, manifest | {"held": held})
 
     def delete_video(self, video_id: str) -> None:
         gone = self.spark.createDataFrame([(video_id,)], "video_id string")

@@ -1,10 +1,11 @@
 import math
 
-from cinequery.operators import bm25, documents
-from cinequery.operators.engine import KeywordLane, SearchEngine, VisualLane, query_frame
-
+import numpy as np
 import pytest
 
+from cinequery.operators import bm25, documents
+from cinequery.operators.engine import Refused, SearchEngine, box_frame, example_lane, keyword_lane, problems, query_frame, visual_lane
+
 LINES = "lane string, video_id string, shot_id bigint, line_no bigint, text string, keyframe_id string, frame_index bigint, time_ms bigint"
 
 
@@ -45,20 +46,28 @@ def test_index_round_trip(spark, tmp_path):
     assert sorted(map(tuple, bm25.search(again, asked, 5).drop("others").collect())) == sorted(map(tuple, bm25.search(index, asked, 5).drop("others").collect()))
 
 
-def test_engine_checks_before_it_runs(spark):
+def test_engine_judges_queries_before_it_searches(spark):
+    class Fixed:
+        dim = 2
+
+        def encode_texts(self, texts):
+            return np.array([[0.1, 1.0] if t == "x" else [1.0, 0.0] for t in texts], np.float32)
+
     index = bm25.build(lines(spark, ROWS))
     vectors = spark.createDataFrame([(1, [1.0, 0.0], "V1_000010", "V1", 0, 10, 400), (2, [0.0, 1.0], "V2_000005", "V2", 0, 5, 200)], "id long, vector array<float>, keyframe_id string, video_id string, shot_id long, frame_index long, time_ms long")
-    lanes = {"ocr": KeywordLane(index, "ocr"), "visual": VisualLane(vectors, lambda t: [0.1, 1.0])}
-    with pytest.raises(ValueError, match="box"):
-        SearchEngine(lanes).search({"ocr": "  "})
-    with pytest.raises(ValueError, match="no such lane"):
-        SearchEngine(lanes).search({"sound": "x"})
-    with pytest.raises(ValueError, match="rrf_k"):
-        SearchEngine(lanes).search({"ocr": "giá", "visual": "x"})
-    one = SearchEngine(lanes).search({"ocr": "thời tiết", "visual": ""}).collect()
-    assert [r.video_id for r in one] == ["V2"]
-    both = SearchEngine(lanes, 60).search({"ocr": "giá", "visual": "x"}).orderBy("row").collect()
+    lanes = {"ocr": keyword_lane(index, "ocr"), "visual": visual_lane(vectors, Fixed), "example": example_lane(vectors)}
+    boxes = box_frame(spark, {1: {"ocr": "  ", "visual": None}, 2: {"sound": "x"}, 3: {"ocr": "giá", "visual": "x"}, 4: {"ocr": "giá"}})
+    assert {r.query_id: r.problem for r in problems(boxes, lanes, None).collect()}.keys() == {1, 2, 3}
+    assert {r.query_id for r in problems(boxes, lanes, 60.0).collect()} == {1, 2}
+    with pytest.raises(Refused, match="query 1.*query 2.*sound"):
+        SearchEngine(lanes, 60.0).search(boxes)
+    alone = SearchEngine(lanes).search(box_frame(spark, {7: {"ocr": "thời tiết", "visual": ""}, 8: {"example": "V1_000010"}})).collect()
+    assert [r.video_id for r in alone if r.query_id == 7] == ["V2"]
+    assert [r.keyframe_id for r in sorted(alone, key=lambda r: r.row) if r.query_id == 8] == ["V1_000010", "V2_000005"]
+    both = SearchEngine(lanes, 60.0).search(box_frame(spark, {3: {"ocr": "giá", "visual": "x"}})).orderBy("row").collect()
     assert {(r.video_id, r.shot_id) for r in both} == {("V1", 0), ("V1", 1), ("V2", 0)} and both[0].video_id == "V1"
+    said = visual_lane(vectors, Fixed, lambda t: {"áo đỏ": "x"}[t])(query_frame(spark, {1: "áo đỏ"}), 5).orderBy("rank").collect()
+    assert said[0].keyframe_id == "V2_000005"
 
 
 SHOTS = "video_id string, shot_id bigint, start_ms bigint, end_ms bigint"
@@ -74,9 +83,10 @@ def video(spark):
 
 def test_speech(spark, video):
     shots, keys = video
-    rows = [(1, "V", 100, 600, "a"), (2, "V", 1900, 2600, "b"), (3, "V", 5500, 6000, "c"), (4, "V", 2000, 2000, "d"), (5, "V", 2010, 2400, "e")]
+    rows = [(9, "V", 8500, 10**15, "long"), (10, "V", -(10**15), -5, "before"), (1, "V", 100, 600, "a"), (2, "V", 1900, 2600, "b"), (3, "V", 5500, 6000, "c"), (4, "V", 2000, 2000, "d"), (5, "V", 2010, 2400, "e")]
     segments = spark.createDataFrame(rows, "segment_id int, video_id string, start_ms bigint, end_ms bigint, text string")
     got = {(r.segment_id, r.shot_id): r.frame_index for r in documents.speech_lines(segments, shots, keys).collect()}
+    assert got.pop((9, 3)) == 213
     assert got == {(1, 0): 12, (2, 0): 37, (2, 1): 63, (5, 1): 63}
     padded = {(r.segment_id, r.shot_id): r.heard for r in documents.speech_lines(segments, shots, keys, 50).collect()}
     assert padded[(4, 0)] == 2000 and padded[(5, 0)] == 2000

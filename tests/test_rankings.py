@@ -89,14 +89,16 @@ def lane(spark, shots):
 
 
 def test_fusion(spark):
-    agree = fusion.fuse([lane(spark, [1, 2, 3]), lane(spark, [4, 2])], [], 60).orderBy("rank").collect()
+    agree = fusion.fuse([lane(spark, [1, 2, 3]), lane(spark, [4, 2])], [], 60, 100).orderBy("rank").collect()
     assert [r.shot_id for r in agree][0] == 2
     # Equal ranks in swapped lanes tie exactly; then the better rank, then the shot.
-    tie = fusion.fuse([lane(spark, [7, 5, 9]), lane(spark, [5, 7, 8])], [], 60).orderBy("rank").collect()
+    tie = fusion.fuse([lane(spark, [7, 5, 9]), lane(spark, [5, 7, 8])], [], 60, 100).orderBy("rank").collect()
     assert [r.shot_id for r in tie] == [5, 7, 8, 9] and tie[0].score == tie[1].score
     assert tie[0].frame_index == 1
     with pytest.raises(ValueError):
         fusion.fuse([lane(spark, [1])], [], None)
+    with pytest.raises(ValueError, match="limit"):
+        fusion.fuse([lane(spark, [1])], [], 60)
 
 
 def test_recall(spark):

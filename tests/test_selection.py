@@ -134,16 +134,16 @@ def test_keyframes_without_a_hash_are_selected_too(spark, tmp_path):
     rows = [row(0, "0"), row(1, "1", 200.0), row(2, None), row(3, "1"), row(4, "3"), row(5, None), row(6, None), row(7, None, 1.0)]
     spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/keyframes.parquet")
     want = {"k0": (0, False), "k1": (0, True), "k2": (1, True), "k3": (2, True), "k4": (2, False), "k5": (3, True), "k6": (4, True)}
-    judged = {r.keyframe_id: (r.rejected, r.group_no, r.indexed) for r in selection.reselect_all(spark, str(tmp_path)).collect()}
+    judged = {r.keyframe_id: (r.rejected, r.group_no, r.indexed) for r in selection.reselect(spark, str(tmp_path)).collect()}
     assert judged == {k: (None, *v) for k, v in want.items()} | {"k7": ("blur", None, False)}
-    grouped = {r.keyframe_id: (r.group_no, r.indexed) for r in selection.near_dup_all(spark, str(tmp_path)).collect()}
+    grouped = {r.keyframe_id: (r.group_no, r.indexed) for r in selection.near_dup(spark, str(tmp_path)).collect()}
     assert grouped == want | {"k7": (5, True)}
 
 
 def test_all_shots_are_covered_and_missing_scenes_filled(spark, tmp_path):
     rows = [("v", i, 100 * i, 100 * i + 99) for i in range(5)] + [("gap", 0, 0, 99), ("gap", 2, 300, 399), ("tiny", 0, 0, 3)]
     spark.createDataFrame(rows, "video_id string, shot_id long, start_frame long, end_frame long").write.parquet(f"{tmp_path}/shots.parquet")
-    got = sorted((r.video_id, r.shot_id, r.start_frame, r.end_frame) for r in selection.shot_cover_all(spark, str(tmp_path)).collect())
+    got = sorted((r.video_id, r.shot_id, r.start_frame, r.end_frame) for r in selection.shot_cover(spark, str(tmp_path)).collect())
     want = [("gap", 0, 0, 200), ("gap", 1, 201, 408), ("tiny", 0, 0, 12)]
     want += [("v", 0, 0, 100), ("v", 1, 101, 200), ("v", 2, 201, 300), ("v", 3, 301, 400), ("v", 4, 401, 508)]
     assert got == want

@@ -1,6 +1,6 @@
-import io
 import json
 import threading
+import unicodedata
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
@@ -13,8 +13,8 @@ from cinequery.models import HashEncoder, embed, in_batches, load_encoder, trans
 from cinequery.operators import submission
 from cinequery.plans import build
 from cinequery.sources import files
-from cinequery.sources.judge import Judge, JudgeError, submit_once
-from cinequery.sources.submission_log import SubmissionLog, read_log
+from cinequery.sources.judge import Judge, JudgeError, over_http, send_once
+from cinequery.sources.submission_log import Ledger, read_log
 from cinequery.sources.vector_store import VectorStore, resolve_uri
 from cinequery.streaming import evidence
 
@@ -52,7 +52,10 @@ def test_query_files(spark, tmp_path):
     text = "﻿E1: một người\n ghi chú\n  Cảnh 2. hai người \n"
     path = tmp_path / "query-1-TRAKE.txt"
     path.write_text(text, encoding="utf-8")
-    assert files.read_query_file(path) == ("trake", text.lstrip("﻿").strip(), ["một người", "hai người"])
+    read = files.query_files(spark, str(path)).first()
+    assert (read.name, read.found_task, read.text, list(read.events)) == ("query-1-TRAKE", "trake", text.lstrip("﻿").strip(), ["một người", "hai người"])
+    path.write_text(unicodedata.normalize("NFD", text), encoding="utf-8")
+    assert files.query_files(spark, str(path)).first().text == read.text
     df = spark.createDataFrame([("query-1-TRAKE", text), ("plain", "chỉ chữ")], "name string, content string")
     got = files.parse_query_text(df, "name", "content").orderBy(F.desc("name")).collect()
     assert [(r.found_task, list(r.events)) for r in got] == [("trake", ["một người", "hai người"]), (None, [])]
@@ -61,8 +64,8 @@ def test_query_files(spark, tmp_path):
 def test_files_are_replaced_as_a_whole(spark, tmp_path):
     path = tmp_path / "x" / "a.json"
     files.write_json(path, {"a": "ế"})
-    with pytest.raises(RuntimeError):
-        files.replace_file(path, lambda out: (_ for _ in ()).throw(RuntimeError()))
+    with pytest.raises(ZeroDivisionError):
+        files.publish(path, (part if part else 1 / 0 for part in (b"x", None)))
     assert json.loads(path.read_text()) == {"a": "ế"} and [p.name for p in path.parent.iterdir()] == ["a.json"]
     files.write_json_lines(tmp_path / "b.jsonl", [{"a": 1}, {"a": 2}])
     assert (tmp_path / "b.jsonl").read_text() == '{"a": 1}\n{"a": 2}\n'
@@ -98,6 +101,15 @@ def test_vector_store(spark, tmp_path):
     assert sorted(r.keyframe_id for r in store.rows().collect()) == ["A_9", "B_1"]
     store.delete_video("B")
     assert [r.keyframe_id for r in store.rows().collect()] == ["A_9"] and store.keyframe_ids("B").count() == 0
+    before = store.rows()
+    store.rebucket(3)
+    store.insert(vectors(spark, [("C", i, [1, i]) for i in range(5)]))
+    store.replace_videos(vectors(spark, [("C", 7, [1, 7])]), spark.createDataFrame([("C",), ("Z",)], "video_id string"))
+    assert sorted(r.keyframe_id for r in store.rows().collect()) == ["A_9", "C_7"] and [r.keyframe_id for r in before.collect()] == ["A_9"]
+    with pytest.raises(FileExistsError):
+        store._commit(store._latest()[0], {})
+    store.vacuum()
+    assert sorted(r.keyframe_id for r in store.rows().collect()) == ["A_9", "C_7"] and len(store._names("manifests")) == 1
     assert resolve_uri("http://x", "/d") == "http://x" and resolve_uri("i/v", "/d") == "/d/i/v"
 
 
@@ -131,20 +143,24 @@ def test_models(spark, tmp_path):
     assert HashEncoder(8).encode_images([b"a"]).dtype.name == "float32"
 
 
-def test_log_survives_cut_lines(spark, tmp_path):
-    log = SubmissionLog(tmp_path / "l" / "log.jsonl")
-    assert log.status("e", "t", {"a": 1}) is None
-    log.append("e", "t", {"text": "một hai\u0085ba"}, "SENDING")
-    with log.path.open("ab") as out:
-        out.write('{"evaluation": "e", "task": "ế'.encode()[:-1])
-    log.append("e", "t", {"b": 1, "a": 2}, "WRONG")
-    assert len(log.entries()) == 2 and log.status("e", "t", {"a": 2, "b": 1}) == "WRONG"
-    assert log.sent("e", "t", {"text": "một hai\u0085ba"})
-    states = {r.verdict for r in submission.states(read_log(spark, str(log.path))).collect()}
-    assert states == {"SENDING", "WRONG"}
-
-
-def test_judge(tmp_path):
+def test_ledger_and_logs_with_cut_lines(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "l"))
+    assert ledger.standing("e", "t", {"a": 1}) == (None, False)
+    ledger.note("e", "t", {"text": "một hai\u0085ba"}, "SENDING")
+    (tmp_path / "l" / "00000000000000000001-cut.jsonl").write_bytes('{"evaluation": "e", "task": "ế'.encode()[:-1])
+    for verdict in ("SENDING", "CORRECT", "ERROR 503", "WRONG"):
+        ledger.note("e", "t", {"b": 1, "a": 2}, verdict)
+    assert ledger.events().count() == 5 and ledger.standing("e", "t", {"a": 2, "b": 1}) == ("WRONG", True)
+    assert ledger.standing("e", "t", {"text": "một hai\u0085ba"}) == ("SENDING", True)
+    ledger.note("e", "t", {"b": 1, "a": 2}, "ERROR 412")
+    assert ledger.standing("e", "t", {"a": 2, "b": 1}) == ("ERROR 412", False)
+    whole = tmp_path / "log.jsonl"
+    whole.write_bytes(b"".join(p.read_bytes() + b"\n" for p in sorted((tmp_path / "l").glob("*.jsonl"))))
+    states = {r.verdict for r in submission.states(read_log(spark, str(whole))).collect()}
+    assert states == {"SENDING", "ERROR 412"}
+
+
+def test_judge(spark, tmp_path):
     asked = []
 
     class Handler(BaseHTTPRequestHandler):
@@ -173,31 +189,41 @@ def test_judge(tmp_path):
     server = HTTPServer(("127.0.0.1", 0), Handler)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     judge = Judge(f"http://127.0.0.1:{server.server_port}/")
-    with pytest.raises(JudgeError, match="log in"):
+    with pytest.raises(JudgeError, match="log in before"):
         judge.evaluations()
     judge.log_in("u", "p")
     assert judge.evaluations() == [{"id": "e 1"}]
-    with pytest.raises(JudgeError, match="not JSON"):
+    with pytest.raises(JudgeError, match="not a JSON"):
         judge.current_task("e 1")
-    log = SubmissionLog(tmp_path / "log.jsonl")
-    assert submit_once(judge, log, "e 1", "t", {"text": "x"}).verdict == "CORRECT"
-    assert submit_once(judge, log, "e 1", "t", {"text": "x"}) is None
+    assert judge.choose(None) == judge.choose("e 1") == "e 1"
+    with pytest.raises(JudgeError, match="0 evaluations"):
+        judge.choose("other")
+    ledger = Ledger(spark, str(tmp_path / "log"))
+    assert send_once(judge, ledger, "e 1", "t", {"text": "x"}).verdict == "CORRECT"
+    assert send_once(judge, ledger, "e 1", "t", {"text": "x"}) is None
     assert asked[-1] == ("/api/v2/submit/e%201?session=s1", {"answerSets": [{"answers": [{"text": "x"}]}]})
-    with pytest.raises(JudgeError) as refused:
-        submit_once(judge, log, "e 1", "t", {"text": "bad"})
-    assert refused.value.status == 412 and not log.sent("e 1", "t", {"text": "bad"})
+    with pytest.raises(JudgeError, match="no task") as refused:
+        send_once(judge, ledger, "e 1", "t", {"text": "bad"})
+    assert refused.value.status == 412 and not ledger.standing("e 1", "t", {"text": "bad"})[1]
     server.shutdown()
+    tried = []
 
-    def lost(*_, **__):
+    def lost(method, address, *_):
+        tried.append(method)
         raise TimeoutError("late")
 
-    judge._open = lost
-    with pytest.raises(JudgeError) as silent:
-        submit_once(judge, log, "e 1", "t", {"text": "y"})
-    assert silent.value.status is None and log.sent("e 1", "t", {"text": "y"})
-    judge._open = lambda *_, **__: io.BytesIO(b"")
+    judge._transport = lost
+    with pytest.raises(JudgeError, match="late") as silent:
+        send_once(judge, ledger, "e 1", "t", {"text": "y"})
+    assert silent.value.status is None and ledger.standing("e 1", "t", {"text": "y"})[1] and tried == ["POST"]
+    with pytest.raises(JudgeError):
+        judge.evaluations()
+    assert tried == ["POST", "GET", "GET", "GET"]
+    judge._transport = lambda *_: (200, b"")
     with pytest.raises(JudgeError, match="session"):
         judge.log_in("u", "p")
+    with pytest.raises(OSError):
+        over_http("GET", "http://127.0.0.1:1/x", {}, None, 1.0)
 
 
 def test_stream_upserts_by_video(spark, tmp_path):
