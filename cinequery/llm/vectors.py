@@ -6,8 +6,9 @@ shard and those of the next cells that lie close across the boundary. In each sh
 a robust-pruned directed graph over the shard's vectors and answers all queries sent to it by beam
 search. A cell that the sample shows to be larger than ``2 * shard_rows`` is split into several shards by a hash,
 and asked in all of them: that is the second level past ``MAX_CELLS`` cells, too. Finally the answers of a
-vector's shards, k rows each, are merged. Candidates come from the graphs; their similarities are worked
-out from the stored numbers, in double precision.
+vector's shards are merged. Vectors travel as 16-bit steps of their largest value; where that could decide
+(a similarity within ``DOUBT`` of ``least``, or of the next one at the k-th place), all candidates of the vector are
+scored again from the stored numbers, in double precision.
 
 A task holds one shard: about ``shard_rows`` indexed vectors, which grow with the square root of the rows up to
 ``SHARD_BYTES``, and the queries that cells around send. There are as many tasks as shards, so no task grows
@@ -19,7 +20,7 @@ Defined results: similarity is the cosine. Rows with a null key, or a vector tha
 finite or of another length than the first of the sample have no similarity and take no part. A key
 that comes more than once is one item (with the vector first by its bytes, if they differ), and asks if any of its rows does.
 Identical vectors are one node of the graph and come out as separate items; a vector with more
-copies than a shard has rows is indexed by its first k + 1 copies, which are all that can matter. Equal similarities are
+copies than a shard has rows is indexed by its first few copies, which are all that can matter. Equal similarities are
 ordered by key. Fewer than k others: all that are found. Empty input: no rows.
 """
 
@@ -44,8 +45,10 @@ MAX_CELLS = 8_192
 LEAST_SHARD = 2_000
 #: Bytes of the vectors that a shard indexes, at most, on average.
 SHARD_BYTES = 128 << 20
-#: Candidates beyond the k wanted (one of them the vector itself) whose similarities are worked out exactly.
-SPARE = 4
+#: Candidates beyond the k wanted (one of them may be the vector itself) that a shard looks at, and hands on.
+SPARE, NEXT = 4, 2
+#: Twice what the steps in which vectors travel can change a similarity by, and more.
+DOUBT = 4e-5
 #: Tasks that search shards; with more shards, tasks take several, one after the other.
 MAX_TASKS = 20_000
 #: Similarities to cells that a task works out at once.
@@ -70,16 +73,34 @@ def _pack(points: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(rows.shape[1] * 4), len(rows), [None, pa.py_buffer(rows)]).cast(pa.binary())
 
 
-def _unpack(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
-    """The stored numbers of packed vectors of one length, without a copy of each."""
+def _bytes(column: pa.Array | pa.ChunkedArray, length: int) -> np.ndarray:
+    """Binary values of one length as the rows of a matrix of bytes, without a copy of each."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if not len(column):
-        return np.empty((0, width), np.float32)
-    column = column.cast(pa.large_binary()) if pa.types.is_large_binary(column.type) else column.cast(pa.binary())
-    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+        return np.empty((0, length), np.uint8)
     _, offsets, data = column.buffers()
-    first = int(np.frombuffer(offsets, kind)[column.offset])
-    return np.frombuffer(data, np.uint8)[first : first + len(column) * width * 4].view(np.float32).reshape(-1, width)
+    first = int(np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset])
+    return np.frombuffer(data, np.uint8)[first : first + len(column) * length].reshape(-1, length)
+
+
+def _unpack(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """The stored numbers of packed vectors of one length."""
+    return np.ascontiguousarray(_bytes(column, width * 4)).view(np.float32)
+
+
+def _stepped(stored: np.ndarray) -> pa.Array:
+    """Each vector as a scale and 16-bit integers: half the bytes to shuffle, and similarities right to about 0.00001."""
+    points = unit(stored)
+    scale = np.abs(points).max(1, keepdims=True).astype(np.float32)
+    steps = np.rint(points / scale * 32767).astype(np.int16)
+    rows = np.ascontiguousarray(np.concatenate([scale.view(np.uint8), np.ascontiguousarray(steps).view(np.uint8)], axis=1))
+    return pa.Array.from_buffers(pa.binary(rows.shape[1]), len(rows), [None, pa.py_buffer(rows)]).cast(pa.binary())
+
+
+def _unstepped(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """Unit vectors out of their steps."""
+    raw = _bytes(column, 4 + 2 * width)
+    return unit(np.ascontiguousarray(raw[:, 4:]).view(np.int16)) if len(raw) else np.empty((0, width), np.float32)
 
 
 def _packer(kind: str):
@@ -113,7 +134,8 @@ def fit_cells(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 7) ->
 def _assigner(sent, width: int, probes: int, margin: float):
     def part(keys: pa.Array, raw: pa.Array, asks: np.ndarray, mix: np.ndarray) -> pa.RecordBatch:
         centres, first, salts, copied = sent.value
-        points = unit(_unpack(raw, width))
+        stored = _unpack(raw, width)
+        points, steps = unit(stored), _stepped(stored)
         depth = min(probes, len(centres))
         at = np.arange(len(points))
         close = points @ centres.T
@@ -143,7 +165,7 @@ def _assigner(sent, width: int, probes: int, margin: float):
                 "own": pa.array(own),
                 "asks": pa.array(asks[r] | ~own),
                 "key": keys.take(pa.array(r)),
-                "vector": raw.take(pa.array(r)),
+                "vector": steps.take(pa.array(r)),
             }
         )
 
@@ -164,7 +186,7 @@ def _reindexer(sent, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, first, salts, _ = sent.value
         for batch in batches:
-            home = (unit(_unpack(batch.column(1), width)) @ centres.T).argmax(1) if batch.num_rows else np.array([], int)
+            home = (_unstepped(batch.column(1), width) @ centres.T).argmax(1) if batch.num_rows else np.array([], int)
             n = batch.num_rows
             yield pa.record_batch(
                 {
@@ -190,25 +212,25 @@ def _searcher(width: int, k: int, least: float, degree: int, build_beam: int, be
         count = np.bincount(group, minlength=groups)
         return order, np.cumsum(count) - count, count
 
+    low = least - DOUBT
+
     def run(t: pa.Table) -> pa.Table:
         # A key is here once: at home, or sent to ask.
         t = t.sort_by("key")
         keys = t["key"].combine_chunks()
-        stored = _unpack(t["vector"], width)
-        points = unit(stored)
-        norm = np.sqrt(np.einsum("ij,ij->i", stored, stored, dtype=np.float64))
+        points = _unstepped(t["vector"], width)
         own, asks = (t[c].to_numpy().astype(bool) for c in ("own", "asks"))
         rank = np.arange(len(keys))  # rows are sorted by key
-        # Identical vectors are one node. Of its members, only the first k + 1 can be among anyone's k best.
+        # Identical vectors are one node. Of its members, only the first k + 1 and a few in reserve can be among anyone's k best.
         mine = np.flatnonzero(own)
-        raw = np.ascontiguousarray(stored).view(f"V{width * 4}").ravel()
+        raw = np.ascontiguousarray(points).view(f"V{width * 4}").ravel()
         _, first_of, group = np.unique(raw, return_index=True, return_inverse=True)
         indexed = np.unique(group[mine])
         node_of = np.full(len(first_of), -1)
         node_of[indexed] = np.arange(len(indexed))
         nodes = points[first_of[indexed]]
         order_n, start_n, count_n = members(node_of[group[mine]], rank[mine], len(indexed))
-        count_n = np.minimum(count_n, k + 1)
+        count_n = np.minimum(count_n, k + 1 + NEXT)
         who = np.unique(group[asks])
         empty = pa.table({"a": pa.array([], keys.type), "b": pa.array([], keys.type), "similarity": pa.array([], pa.float64())})
         if not len(indexed) or not len(who):
@@ -220,12 +242,11 @@ def _searcher(width: int, k: int, least: float, degree: int, build_beam: int, be
             q = np.flatnonzero(where)
             if len(q):
                 node, near = graph.search(points[first_of[who[q]]], k + SPARE, beam, None if starts is None else starts[q])
-                i, j = np.nonzero((node >= 0) & (near >= least - 1e-4))
+                i, j = np.nonzero((node >= 0) & (near >= low - 1e-4))
                 hits.append((q[i], node[i, j]))
         q, n = (np.concatenate(x) for x in zip(*hits))
-        x, y = first_of[who[q]], first_of[indexed[n]]
-        exact = np.einsum("bd,bd->b", stored[x], stored[y], dtype=np.float64) / (norm[x] * norm[y])
-        q, n, exact = q[exact >= least], n[exact >= least], exact[exact >= least]
+        exact = np.einsum("bd,bd->b", points[first_of[who[q]]], nodes[n], dtype=np.float64)
+        q, n, exact = q[exact >= low], n[exact >= low], exact[exact >= low]
         # Queries' members times the nodes' first members.
         asking = np.flatnonzero(asks)
         slot = np.full(len(first_of), -1)
@@ -241,7 +262,7 @@ def _searcher(width: int, k: int, least: float, degree: int, build_beam: int, be
         a, b, near = a[order], b[order], near[order]
         begin = np.r_[0, np.flatnonzero(a[1:] != a[:-1]) + 1] if len(a) else np.array([], int)
         place = np.arange(len(a)) - np.repeat(begin, np.diff(np.r_[begin, len(a)]))
-        a, b, near = a[place < k], b[place < k], near[place < k]
+        a, b, near = a[place < k + NEXT], b[place < k + NEXT], near[place < k + NEXT]
         return pa.table({"a": keys.take(pa.array(a)), "b": keys.take(pa.array(b)), "similarity": pa.array(near)})
 
     return run
@@ -276,16 +297,18 @@ def similar_vectors(
     least: float = -1.0,
     asks: Column | None = None,
     probes: int | None = None,
-    margin: float = 0.1,
+    margin: float = 0.075,
     degree: int = 14,
     build_beam: int = 14,
-    beam: int = 24,
+    beam: int = 20,
     shard_rows: int | None = None,
+    exact: bool = False,
 ) -> DataFrame:
     """(key_a, key_b, similarity): for each ``key_a`` that ``asks``, its ``k`` most similar others with at least ``least``.
 
     ``probes`` cells are asked at most, as far as the boundary to the vector's own cell lies within
-    ``margin``; without a number, 4 and four fifths of the binary logarithm of the cells. ``degree``, ``build_beam`` and ``beam`` trade time for recall.
+    ``margin``; without a number, 3 and a third of the binary logarithm of the cells. ``degree``, ``build_beam`` and ``beam`` trade time for recall.
+    With ``exact``, every similarity is worked out from the stored numbers, else those are that are in doubt.
     """
     if k < 1 or probes is not None and probes < 1 or degree < 1 or beam < 1:
         raise ValueError("k, probes, degree and beam must be at least 1")
@@ -314,7 +337,7 @@ def similar_vectors(
     shard = shard_rows or min(max(LEAST_SHARD, int(4 * math.sqrt(total))), max(1, SHARD_BYTES // length))
     cells = max(1, min(MAX_CELLS, total // shard, len(sample)))
     centres = fit_cells(sample, cells)
-    probes = probes or 4 + round(0.8 * math.log2(cells))
+    probes = probes or 3 + math.ceil(math.log2(cells) / 3)
     held = np.bincount((sample @ centres.T).argmax(1), minlength=cells) * (total / len(sample))
     salts = np.maximum(1, np.ceil(held / (2 * shard))).astype(np.int64)
     first = np.cumsum(salts) - salts
@@ -329,13 +352,13 @@ def similar_vectors(
     same = None
     if copied:
         # Whoever has k copies has these, first by key, as its k most similar; and for all others only the
-        # first k + 1 copies can matter. So these few stand for all in the index, and the rest never meet.
+        # first k + 1 copies and a few in reserve can matter. So these few stand for all in the index, and the rest never meet.
         copies = spread.where("shard < 0").select("shard", "key", "vector", "asks")
         lead = Window.partitionBy("shard").orderBy("key")
-        heads = copies.withColumn("_r", F.dense_rank().over(lead)).where(F.col("_r") <= k + 1).dropDuplicates(["shard", "_r"])
+        heads = copies.withColumn("_r", F.dense_rank().over(lead)).where(F.col("_r") <= k + 1 + NEXT).dropDuplicates(["shard", "_r"])
         heads = materialize(heads, "copies")
-        listed = heads.groupBy("shard").agg(F.array_sort(F.collect_list("key")).alias("_heads"))  # k + 1 keys a vector
-        others = F.slice(F.array_except("_heads", F.array("key")), 1, k)
+        listed = heads.groupBy("shard").agg(F.array_sort(F.collect_list("key")).alias("_heads"))  # a few keys a vector
+        others = F.slice(F.array_except("_heads", F.array("key")), 1, k + NEXT)
         same = copies.where("asks").join(F.broadcast(listed), "shard").select(F.col("key").alias("a"), F.explode(others).alias("b"), F.lit(1.0).alias("similarity"))
         alone = spark.sparkContext.broadcast((centres, first, salts, {}))
         spread = spread.where("shard >= 0").unionByName(heads.select("key", "vector").mapInArrow(_reindexer(alone, width), kinds))
@@ -348,4 +371,29 @@ def similar_vectors(
         found = found.unionByName(same.where(F.col("similarity") >= least))
     best = Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b")
     # A key is one row with one home, so no pair comes twice.
-    return found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).select(F.col("a").alias("key_a"), F.col("b").alias("key_b"), "similarity")
+    # Written once: what is sure and what is in doubt both come from it, and the search is the dear part.
+    found = materialize(found, "candidates")
+    ranked = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + NEXT)
+    # Doubtful is a vector whose k-th and next are too close to call, or that has one at the threshold. The others are as they will be.
+    next_one = F.lead("similarity").over(best)
+    close = (F.abs(F.col("similarity") - least) <= DOUBT) | (F.col("_r") >= k) & (F.col("similarity") - next_one <= DOUBT)
+    judged = ranked.withColumn("_doubt", F.max(F.coalesce(close, F.lit(False))).over(Window.partitionBy("a")) | F.lit(exact))
+    sure = judged.where("not _doubt").where((F.col("_r") <= k) & (F.col("similarity") >= least)).select("a", "b", "similarity")
+    pairs = judged.where("_doubt").select("a", "b")
+    # Both joins find the vectors where the merging of their keys has put them.
+    both = pairs.join(items.select(F.col("key").alias("a"), F.col("vector").alias("va")), "a").join(items.select(F.col("key").alias("b"), F.col("vector").alias("vb")), "b")
+    scored = both.mapInArrow(_exactly(width), f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= least)
+    again = scored.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).select("a", "b", "similarity")
+    return sure.unionByName(again).select(F.col("a").alias("key_a"), F.col("b").alias("key_b"), "similarity")
+
+
+def _exactly(width: int):
+    """Cosines of pairs of stored vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (_unpack(batch.column(c), width) for c in ("va", "vb"))
+            norms = np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64) * np.einsum("ij,ij->i", y, y, dtype=np.float64))
+            yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "similarity": pa.array(np.einsum("ij,ij->i", x, y, dtype=np.float64) / norms)})
+
+    return run
