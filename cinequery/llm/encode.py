@@ -23,17 +23,12 @@ from pyspark.sql import DataFrame
 SHORT_WORD = 256
 #: Encoded words that a task remembers. The least it costs is speed.
 CACHED_WORDS = 200_000
-#: Largest rank table that is sent to the executors, in entries (some 16 MB pickled).
-MAX_RANKS = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
-    """Ranks of a file with one base64 token and its rank a line."""
+    """Ranks of a file with one base64 token and its rank a line: the tokenizer's own table, of one size whatever the corpus."""
     with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
-    if len(ranks) > MAX_RANKS:
-        raise ValueError(f"{len(ranks)} ranks; at most {MAX_RANKS} are sent to executors")
-    return ranks
+        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
 def merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
