@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import getpass
+import json
 import sys
 from pathlib import Path
 from typing import Any
@@ -115,6 +116,9 @@ def _send(spark: SparkSession, a: argparse.Namespace, rows: DataFrame) -> int:
     if chosen is None:
         print(f"there is no row {a.submit}")
         return 1
+    if a.task == "qa" and (not (a.answer or "").strip() or "-" in a.answer):
+        print("what is sent for a question has an answer, without a hyphen")
+        return 1
     if not a.judge or not a.user:
         print("to send, give the judge's address and a user (judge.address, judge.user)")
         return 1
@@ -126,7 +130,7 @@ def _send(spark: SparkSession, a: argparse.Namespace, rows: DataFrame) -> int:
         if not a.yes and input(f"send {chosen.sent} for {task}? [y/N] ").strip().lower() != "y":
             print("nothing was sent")
             return 0
-        answer = {"mediaItemName": chosen.video_id, "start": chosen.time_ms, "end": chosen.time_ms} if "time_ms" in chosen and a.task == "kis" else {"text": chosen.sent}
+        answer = json.loads(chosen.sent) if a.task == "kis" else {"text": chosen.sent}
         verdict = send_once(judge, Ledger(spark, f"{a.data}/submissions"), evaluation, task, answer)
     except JudgeError as failed:
         print(failed)

@@ -19,7 +19,7 @@ from cinequery import schemas
 from cinequery.config import Settings
 from cinequery.functions.numbers import box_share, segment_ms
 from cinequery.functions.pictures import difference_hash, encode_picture, measure
-from cinequery.models import MODELS, Frame, in_batches
+from cinequery.models import MODELS, Frame, in_batches, load_encoder
 from cinequery.operators import incremental, preprocess as shots_and_slots
 from cinequery.plans import build
 from cinequery.sources.files import video_files, write_pictures
@@ -168,7 +168,7 @@ def visual(spark: SparkSession, data: str, settings: Settings, force: bool) -> l
     encoder = settings.get("search.encoder", "hash")
     store = VectorStore(spark, f"{data}/vectors", encoder)
     if not store.exists():
-        store.create(int(settings.get("visual.dim", 64)))
+        store.create(load_encoder(encoder).dim)
     frames = _keyframes(spark, data)
     pictures = _pictures(spark, data, frames.where("indexed").select("keyframe_id"))
     return _said(build.build_visual(frames, pictures, store, encoder, int(settings.get("visual.batch_size", 16)), force), "keyframe", "keyframe_id")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cinequery.sources.tables import materialize
+
 FRAME = ["video_id", "shot_id", "keyframe_id", "frame_index", "time_ms"]
 #: Frames that a search returns at most.
 MAX_LIMIT = 16_384
@@ -33,6 +35,15 @@ def rank_rows(rows: DataFrame, by: Sequence[str], order: Sequence[Column], limit
     return ranked.dropDuplicates([*by, into]) if copies else ranked
 
 
+def rank_all(rows: DataFrame, by: Sequence[str], order: Sequence[Column], into: str = "rank") -> DataFrame:
+    """Positions from 1 of all rows, for groups of any size: rows are laid out by range, numbered in each range, and ranges counted."""
+    placed = materialize(rows.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    here = placed.withColumn("_here", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)))
+    counts = placed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return here.join(counts.select(*by, "_range", before.alias("_before")), [*by, "_range"]).withColumn(into, F.col("_before") + F.col("_here")).drop("_range", "_here", "_before")
+
+
 def group_by_shot(ranked: DataFrame, by: Sequence[str], depth: int | None = None) -> DataFrame:
     """Shots in the order of their first frame, which stands for the shot; ``others`` are the rest in rank order."""
     frame = F.struct("rank", "keyframe_id", "frame_index", "time_ms", "score")

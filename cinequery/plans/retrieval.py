@@ -47,9 +47,11 @@ def kis_visual(s: SparkSession, d: str) -> DataFrame:
 
 
 def group_by_shot(s: SparkSession, d: str) -> DataFrame:
-    """Every lane ranking of every query, collapsed to shots."""
-    ranked = hits.rank_rows(views.hits(s, d), ["query_id", "lane"], _ORDER(), hits.MAX_LIMIT, copies=True)
-    return hits.group_by_shot(ranked, ["query_id", "lane"]).select("query_id", "lane", "rank", "video_id", "shot_id", "keyframe_id", "score", F.size("others").cast("long").alias("spares"))
+    """Every hit of every query and lane, collapsed to shots in the order of their best hit; a hit delivered again counts once."""
+    best = F.min(F.struct((-F.col("score")).alias("down"), "frame_index", "hit_id", "keyframe_id", "score")).alias("_b")
+    shots = views.hits(s, d).groupBy("query_id", "lane", "video_id", "shot_id").agg(best, (F.count_distinct("hit_id") - 1).alias("spares"))
+    ranked = hits.rank_all(shots.select("query_id", "lane", "video_id", "shot_id", "_b.*", "spares"), ["query_id", "lane"], [F.col("down"), F.col("frame_index"), F.col("hit_id")])
+    return ranked.select("query_id", "lane", "rank", "video_id", "shot_id", "keyframe_id", "score", "spares")
 
 
 def _lanes(s: SparkSession, d: str, lanes: tuple[str, ...]) -> DataFrame:
@@ -291,7 +293,7 @@ SQL: dict[str, str] = {
     "visual_lane": f"{_visual_sql(3)} select query_id, rank, video_id, shot_id, keyframe_id, round(score, 6) as score, {_OTHERS} from shots",
     "kis_visual": f"{_KIS} select row, video_id, shot_id, keyframe_id, frame_index, time_ms from shaped",
     "group_by_shot": f"""with {sql_view('ht')}, r as (select *, row_number() over (partition by query_id, lane order by score desc, frame_index, hit_id) as r from ht),
-        g as (select query_id, lane, video_id, shot_id, min(r) as f, arg_min(keyframe_id, r) as keyframe_id, arg_min(score, r) as score, count(*) - 1 as spares from r where r <= {hits.MAX_LIMIT} group by all)
+        g as (select query_id, lane, video_id, shot_id, min(r) as f, arg_min(keyframe_id, r) as keyframe_id, arg_min(score, r) as score, count(*) - 1 as spares from r group by all)
         select query_id, lane, row_number() over (partition by query_id, lane order by f) as rank, video_id, shot_id, keyframe_id, score, spares from g""",
     "rrf_two": f"{_fused_sql(LANES[:2])} select query_id, rank, video_id, shot_id, keyframe_id, round(score, 12) as score, {_OTHERS} from fused",
     "rrf_three": f"{_FUSED} select query_id, rank, video_id, shot_id, keyframe_id, round(score, 12) as score, {_OTHERS} from fused",

@@ -1,3 +1,6 @@
+import json
+import os
+
 import numpy as np
 import pytest
 
@@ -6,6 +9,8 @@ from cinequery.config import Settings
 from cinequery.models import ArrayDecoder, HashReader, device, options
 from cinequery.operators import bm25
 from cinequery.operators.engine import query_frame
+from cinequery.sources.judge import Judge
+from cinequery.sources.submission_log import Ledger
 
 SETTINGS = Settings({"videos": {"pattern": "*.npy"}, "keyframes": {"gap": 8, "radius": 3}, "grouping": {"max_distance": 6}})
 
@@ -63,6 +68,31 @@ def test_commands(spark, data, monkeypatch, capsys, tmp_path):
     assert cli._arguments(["kis", "--ocr", "x", "--depth", "3", "--config", str(config)]).depth == 3
 
 
+def test_sending(spark, monkeypatch, capsys, tmp_path):
+    data = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(data):
+        pytest.skip("no test data")
+    asked = []
+
+    def transport(method, address, headers, body, timeout):
+        asked.append((address.rpartition("/")[2].partition("?")[0], json.loads(body) if body else None))
+        reply = {"login": {"sessionId": "s"}, "list": [{"id": "e1", "name": "first"}, {"id": "e2", "name": "second"}], "e2": {"name": "kis-1"} if method == "GET" else {"status": True, "submission": "CORRECT"}}
+        return 200, json.dumps(reply[asked[-1][0]]).encode()
+
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    monkeypatch.setattr(cli, "Judge", lambda address: Judge(address, transport))
+    monkeypatch.setattr(cli, "Ledger", lambda spark, folder: Ledger(spark, str(tmp_path / "ledger")))
+    monkeypatch.setattr(cli.getpass, "getpass", lambda _: "p")
+    said = ["kis", "--data", data, "--ocr", "GIÁ", "--submit", "1", "--judge", "http://judge", "--user", "u", "--evaluation", "second"]
+    monkeypatch.setattr("builtins.input", lambda _: "n")
+    assert cli.main(said) == 0 and "nothing was sent" in capsys.readouterr().out
+    assert cli.main([*said, "--yes"]) == 0 and "CORRECT" in capsys.readouterr().out
+    assert set(asked[-1][1]["answerSets"][0]["answers"][0]) == {"mediaItemName", "start", "end"}
+    assert cli.main([*said, "--yes"]) == 0 and "not again" in capsys.readouterr().out
+    assert cli.main(["qa", *said[1:], "--answer", "a-b"]) == 1
+    assert cli.main([*said[:6], "99999", *said[7:]]) == 1
+
+
 def test_helpers():
     assert device("cuda:1") == ("gpu", 1) and device(None) == ("cpu", 0)
     assert options({"a": 1, "b": None}, ["a", "b", "c"]) == {"a": 1}

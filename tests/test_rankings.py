@@ -32,6 +32,17 @@ def test_group_by_shot(spark):
     assert [(r.video_id, r.shot_id, r.frame_index, [o.frame_index for o in r.others]) for r in got] == [("A", 1, 1, [4]), ("B", 5, 2, []), ("A", 2, 3, [])]
 
 
+def test_ranks_over_ranges(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([0] * 8 + [1, 2]), rng.choice([None, rng.random()]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "q int, score double, id int").repartition(3)
+    got = {r.id: r.rank for r in hits.rank_all(df, ["q"], [F.col("score").desc_nulls_last(), F.col("id")]).collect()}
+    for q in range(3):
+        own = sorted((r for r in rows if r[0] == q), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
+        assert [got[r[2]] for r in own] == list(range(1, len(own) + 1))
+    assert hits.rank_all(df.limit(0), ["q"], [F.col("id")]).count() == 0
+
+
 def test_widening_equals_the_loop(spark):
     rng = random.Random(5)
     lists = [[("V", rng.randint(0, rng.randint(1, 8))) for _ in range(rng.randint(0, 30))] for _ in range(120)]
