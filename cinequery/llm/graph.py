@@ -4,7 +4,7 @@ Points enter in random batches. A greedy beam search over the graph so far propo
 neighbours; relaxed distance pruning keeps a proposal only if no kept one is nearer to it than the
 point by the factor ``alpha``, so edges point in diverse directions; kept edges are also entered
 backwards, and full lists pruned by the same rule. A second round searches again for all points over
-the whole graph and prunes with the found and the present neighbours.
+the whole graph and prunes with the found and the present neighbours, and with the nearest of the points around.
 
 All queries of a batch walk at once: each step expands one node of every beam with array operations.
 A beam entry is one integer (similarity, node, expanded bit), so keeping the best is a partition.
@@ -18,6 +18,8 @@ _SCALE = 1 << 29
 _NODE = (1 << 31) - 1
 #: Entry points at which a search starts.
 STARTS = 3
+#: Points that are compared with each other, and how many of them each proposes.
+WINDOW, BESIDE = 512, 4
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -50,11 +52,30 @@ class Graph:
             batch = order[done : done + max(first, done // 2)]
             self._link(batch, self._walk(self.points[batch], beam, entries=self.entries[:done])[0])
             done += len(batch)
-        for _ in range(rounds - 1):
+        beside = self._beside() if n > 1 else None
+        for _ in range(rounds - 1 if n > 1 else 0):
             for at in range(0, n, 4096):
                 batch = np.arange(at, min(n, at + 4096))
                 found = self._walk(self.points[batch], beam, batch)[0]
-                self._link(batch, np.concatenate([found, self.neighbours[batch]], axis=1))
+                self._link(batch, np.concatenate([found, self.neighbours[batch], beside[batch]], axis=1))
+
+    def _beside(self) -> np.ndarray:
+        """The nearest few of each point among those that have its nearest entry or stand close in that order.
+
+        Points that are near each other and far from all others may have no edge that leads to them, so no search finds them.
+        """
+        n = len(self.points)
+        own = np.concatenate([(self.points[a : a + 4096] @ self.points[self.entries].T).argmax(1) for a in range(0, n, 4096)])
+        order = np.argsort(own, kind="stable")
+        out = np.full((n, BESIDE), -1, np.int64)
+        for a in range(0, n, WINDOW):
+            # The last window reaches back, so that it is a whole one.
+            here = order[max(0, min(a, n - WINDOW)) : a + WINDOW]
+            close = self.points[here] @ self.points[here].T
+            np.fill_diagonal(close, -9)
+            few = min(BESIDE, len(here) - 1)
+            out[here, :few] = here[np.argpartition(-close, few - 1, axis=1)[:, :few]]
+        return out
 
     # -- search
 

@@ -42,7 +42,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_search(spark: SparkSession, folder: str) -> DataFrame:
     """The ten keyframes most similar to each row whose id is divisible by 100, however similar, out of all."""
     index = table(spark, folder, "milvus_index")
-    found = vectors.similar_vectors(index, "keyframe_id", "vector", 10, asks=F.col("id") % 100 == 0, probes=24, margin=1.0, degree=16, build_beam=16, beam=64, exact=True)
+    found = vectors.similar_vectors(index, "keyframe_id", "vector", 10, asks=F.col("id") % 100 == 0, probes=24, margin=1.0, degree=16, build_beam=16, beam=200, exact=True)
     return found.select(F.col("key_a").alias("keyframe_id"), F.col("key_b").alias("neighbour_id"), F.round("similarity", 6).alias("similarity"))
 
 

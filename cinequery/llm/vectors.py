@@ -46,7 +46,7 @@ LEAST_SHARD = 2_000
 #: Bytes of the vectors that a shard indexes, at most, on average.
 SHARD_BYTES = 128 << 20
 #: Candidates beyond the k wanted (one of them may be the vector itself) that a shard looks at, and hands on.
-SPARE, NEXT = 4, 2
+SPARE, NEXT = 6, 2
 #: Twice what the steps in which vectors travel can change a similarity by, and more.
 DOUBT = 4e-5
 #: Tasks that search shards; with more shards, tasks take several, one after the other.
@@ -245,7 +245,8 @@ def _searcher(width: int, k: int, least: float, degree: int, build_beam: int, be
                 i, j = np.nonzero((node >= 0) & (near >= low - 1e-4))
                 hits.append((q[i], node[i, j]))
         q, n = (np.concatenate(x) for x in zip(*hits))
-        exact = np.einsum("bd,bd->b", points[first_of[who[q]]], nodes[n], dtype=np.float64)
+        # Row by row, so that a pair has the same similarity to the last bit in every shard.
+        exact = (points[first_of[who[q]]].astype(np.float64) * nodes[n].astype(np.float64)).sum(1)
         q, n, exact = q[exact >= low], n[exact >= low], exact[exact >= low]
         # Queries' members times the nodes' first members.
         asking = np.flatnonzero(asks)
@@ -297,7 +298,7 @@ def similar_vectors(
     least: float = -1.0,
     asks: Column | None = None,
     probes: int | None = None,
-    margin: float = 0.075,
+    margin: float = 0.08,
     degree: int = 14,
     build_beam: int = 14,
     beam: int = 20,
