@@ -301,7 +301,7 @@ def similar_vectors(
     margin: float = 0.08,
     degree: int = 14,
     build_beam: int = 14,
-    beam: int = 20,
+    beam: int = 16,
     shard_rows: int | None = None,
     exact: bool = False,
 ) -> DataFrame:
